@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, site_lines, splitting
+from tessera.llm import leakage, main_body, site_lines, splitting
 from tessera.sources.tables import table
 
 
@@ -28,6 +28,14 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_sections(table(spark, folder, "chunks"), table(spark, folder, "documents"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_body.furniture_lines(table(spark, folder, "documents")).distinct()
+
+
+def p5_main(spark: SparkSession, folder: str) -> DataFrame:
+    return main_body.main_text(table(spark, folder, "documents"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     leaks = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "questions"))
     return leaks.where(F.col("longest_run") >= leakage.RUN).select("doc_id", "item_id").distinct()
