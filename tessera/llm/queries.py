@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, main_body, site_lines, splitting
+from tessera.llm import keyword_spam, leakage, main_body, site_lines, splitting
 from tessera.sources.tables import table
 
 
@@ -45,6 +45,14 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "questions"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword_spam.spam_pages(table(spark, folder, "documents"))
+
+
+def p8_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword_spam.evidence(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
