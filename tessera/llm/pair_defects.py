@@ -181,23 +181,28 @@ _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 
 def clauses(answer: str) -> list[str]:
     """Clauses of an answer without citations, mark-up and headings; none if nothing is said."""
-    t = _HEAD.sub("\n", _CITE.sub("", _TAG.sub(" ", _INVISIBLE.sub("", answer))))
+    t = _CITE.sub("", _INVISIBLE.sub("", answer))
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    t = _HEAD.sub("\n", t)
     parts = [p for p in (x.strip() for x in _CUT.split(t)) if _WORD.search(p)]
     if parts and all(w in PLACEHOLDERS for p in parts for w in re.split(r"[\s:.()]+", p.lower()) if w):
         return []
     return parts
 
 
-def language(text: str) -> dict[str, float]:
-    """How many of a text's words speak for each language."""
-    out: dict[str, float] = {}
-    for w in _WORD.findall(text.lower()):
-        for k, v in _KNOWS.get(w, _NOTHING).items():
-            out[k] = out.get(k, 0.0) + v
-    return out
+def words(part: str) -> list[str]:
+    return _WORD.findall(part.lower().replace("’", "'"))
 
 
-_NOTHING: dict[str, float] = {}
+def language(low: list[str]) -> dict[str, float]:
+    """How many of a text's (lower-case) words speak for each language."""
+    out: dict[str, float] = {}
+    for known in map(_KNOWS.get, low):
+        if known:
+            for k, v in known.items():
+                out[k] = out.get(k, 0.0) + v
+    return out
 
 
 def _best(scores: dict[str, float]) -> tuple[str, float]:
@@ -208,34 +213,37 @@ def _best(scores: dict[str, float]) -> tuple[str, float]:
     return top[0][0], top[0][1] - (top[1][1] if len(top) > 1 else 0.0)
 
 
-def features(parts: list[str], question: str, asked: tuple[str, float] | None = None) -> list[list[str]]:
-    """Features of each clause: its words, how it ends, overlap with the question, language."""
-    lang, sure = asked or _best(language(question))
-    q = set(_WORD.findall(question.lower()))
+def features(parts: list[str], lows: list[list[str]], question: frozenset[str], asked: tuple[str, float]) -> list[list[str]]:
+    """Features of each clause: its words, how it ends, overlap with the question's words, language.
+    ``lows`` holds the clauses' words, ``asked`` the question's language and its lead."""
+    lang, sure = asked
     out, last = [], len(parts) - 1
-    for i, p in enumerate(parts):
+    for i, (p, low) in enumerate(zip(parts, lows)):
         lower = p.lower().replace("’", "'")
-        low = _WORD.findall(lower)
         n = len(low)
-        fs = [f"w:{w}" for w in set(low)]
+        fs = list(set(low))
         if _DENY.search(lower):
-            fs.append("deny:self" if _SELF.search(lower) else "deny")
-        fs.append("item" if _ITEM.match(p) else "line")
-        end = p.rstrip("\"'”’»)*_ ")[-1:]
+            fs.append("#deny:self" if _SELF.search(lower) else "#deny")
+        fs.append("#item" if _ITEM.match(p) else "#line")
         if i == last:
+            end = p.rstrip("\"'”’»)*_ ")[-1:]
             closed = end in (".", "!", "?", "…") and not p.endswith("..")
-            fs.append("last:closed" if closed else "last:item" if fs[-1] == "item" and n <= 8 else "last:sole-short" if last == 0 and (n == 1 or n <= 3 and (any(c.isdigit() for c in p) or low[0] in _SHORT)) else "last:open")
+            short = n == 1 or n <= 3 and (any(c.isdigit() for c in p) or low[0] in _SHORT)
+            fs.append("#closed" if closed else "#last item" if fs[-1] == "#item" and n <= 8 else "#short" if last == 0 and short else "#open")
             if not closed and (p[-1] in ",;:-–(" or low[-1] in _KNOWS):
-                fs.append("last:hanging")
-        if n >= 4 and q:
-            share = sum(w in q for w in low) / n
-            fs.append("echo:all" if share >= 0.9 else "echo:most" if share >= 0.7 else "echo:part" if share >= 0.4 else "echo:no")
-        bare = _QUOTE.sub(" ", p)
-        own, lead = _best(language(bare if len(bare) > 0.3 * len(p) else ""))
-        if sure >= 1 and own and own != lang and lead >= 1:
-            fs.append("foreign:sure" if lead >= 2 else "foreign:maybe")
-        elif own == lang:
-            fs.append("native")
+                fs.append("#hanging")
+        if n >= 4 and question:
+            share = sum(map(question.__contains__, low)) / n
+            fs.append("#echo all" if share >= 0.9 else "#echo most" if share >= 0.7 else "#echo part" if share >= 0.4 else "#echo no")
+        own = low
+        if '"' in p or "«" in p or "“" in p or "„" in p:  # what is quoted may be in any language
+            bare = _QUOTE.sub(" ", p)
+            own = words(bare) if len(bare) > 0.3 * len(p) else []
+        best, lead = _best(language(own))
+        if sure >= 1 and best and best != lang and lead >= 1:
+            fs.append("#foreign" if lead >= 2 else "#foreign?")
+        elif best == lang:
+            fs.append("#native")
         out.append(fs)
     return out
 
@@ -267,10 +275,10 @@ def made_up(count: int, seed: int = 7) -> list[list[tuple[list[str], str]]]:
             if r.random() < 0.3:
                 body.insert(0, (pick(COURTESY, lang), "answer"))
         elif kind == "echo":
-            words = q.split()
+            w = q.split()
             if r.random() < 0.5:
-                del words[r.randrange(len(words))]
-            s = " ".join(words)
+                del w[r.randrange(len(w))]
+            s = " ".join(w)
             s = r.choice([s, s.lower().rstrip("?"), s.upper().rstrip("?"), s])
             body = [(s, "echo")] * r.choice([1, 1, 2])
         elif kind == "echo-answer":
@@ -280,24 +288,24 @@ def made_up(count: int, seed: int = 7) -> list[list[tuple[list[str], str]]]:
         elif kind == "quote":
             body.insert(r.randrange(len(body) + 1), (f'One source says: "{pick(ANSWERS, other)}"' if lang == "en" else f'« {pick(ANSWERS, lang)} »', "answer"))
         elif kind == "cut":
-            words = body[-1][0].split()
-            keep = " ".join(words[: r.randint(2, max(2, len(words) - 2))])
+            w = body[-1][0].split()
+            keep = " ".join(w[: r.randint(2, max(2, len(w) - 2))])
             keep = r.choice([keep, keep, keep[:-2] if len(keep) > 8 else keep, keep + r.choice([" and the", " with a,", " und die", " de la", " y el"])])
             body[-1] = (keep, "unfinished")
         if kind in ("answer", "list", "cut") and r.random() < 0.1:
             body.insert(0, (pick(COURTESY, lang), "answer"))
-        parts = [p for p, _ in body]
-        out.append(list(zip(features(parts, q), [t for _, t in body])))
+        parts, asked = [p for p, _ in body], words(q)
+        out.append(list(zip(features(parts, list(map(words, parts)), frozenset(asked), _best(language(asked))), [t for _, t in body])))
     return out
 
 
-def defect(parts: list[str], tags: list[str], s: Shares = Shares()) -> str | None:
-    """The pair's defect from the words its tags cover."""
-    if not parts:
+def defect(counts: list[int], tags: list[str], s: Shares = Shares()) -> str | None:
+    """The pair's defect from the numbers of words its tags cover."""
+    if not counts:
         return "empty"
     cover = dict.fromkeys(TAGS, 0)
-    for p, t in zip(parts, tags):
-        cover[t] += len(_WORD.findall(p))
+    for n, t in zip(counts, tags):
+        cover[t] += n
     total = sum(cover.values())
     if cover["refusal"] >= s.refusal * total:
         return "refusal"
@@ -310,7 +318,7 @@ def defect(parts: list[str], tags: list[str], s: Shares = Shares()) -> str | Non
 
 def _tagger(model: crf.Model, s: Shares):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked: dict[str, tuple[str, float]] = {}
+        asked: dict[str, tuple[frozenset[str], tuple[str, float]]] = {}
         for pdf in batches:
             cut, todo = [], []
             for q, a in zip(pdf["__question"], pdf["__answer"]):
@@ -318,10 +326,11 @@ def _tagger(model: crf.Model, s: Shares):
                 if q not in asked:
                     if len(asked) > 20_000:
                         asked.clear()
-                    asked[q] = _best(language(q))
+                    asked[q] = frozenset(words(q)), _best(language(words(q)))
                 parts = clauses(a) if a else []
-                cut.append(parts)
-                todo.append(features(parts, q, asked[q]))
+                lows = [words(p) for p in parts]
+                cut.append([len(x) for x in lows])
+                todo.append(features(parts, lows, *asked[q]))
             found = [defect(p, t, s) for p, t in zip(cut, crf.decode(model, todo))]
             yield pd.DataFrame({"rec_table": pdf["__table"], "rec_id": pdf["__id"].astype("int64"), "defect": pd.Series(found, dtype="object")}).dropna(subset=["defect"])
 
