@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import keyword_spam, leakage, main_body, pair_defects, site_lines, splitting
+from tessera.llm import keyword_spam, leakage, main_body, pair_defects, personal_data, site_lines, splitting
 from tessera.sources.tables import table
 
 
@@ -28,6 +28,15 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_sections(table(spark, folder, "chunks"), table(spark, folder, "documents"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = personal_data.texts_of(table(spark, folder, "documents"), table(spark, folder, "submissions"))
+    return personal_data.find(texts).drop("end_pos").distinct()
+
+
+def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.mask(personal_data.texts_of(table(spark, folder, "documents"), table(spark, folder, "submissions")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = pair_defects.pairs_of(table(spark, folder, "eval_results"), table(spark, folder, "llm_responses"), table(spark, folder, "questions"))
     return pair_defects.pair_defects(pairs)
