@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import keyword_spam, leakage, main_body, pair_defects, personal_data, site_lines, splitting
+from tessera.llm import keyword_spam, leakage, main_body, packing, pair_defects, personal_data, site_lines, splitting
 from tessera.sources.tables import table
 
 
@@ -50,6 +50,10 @@ def p5_main(spark: SparkSession, folder: str) -> DataFrame:
     return main_body.main_text(table(spark, folder, "documents"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     leaks = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "questions"))
     return leaks.where(F.col("longest_run") >= leakage.RUN).select("doc_id", "item_id").distinct()
