@@ -60,14 +60,24 @@ def decode(model: Model, segments: list[Segment]) -> list[Segment]:
             continue
         best: list[float] = []
         back: list[int] = []
+        far, far_at = 0.0, -1  # best of the candidates too far back to be a pair with the next
+        near: list[int] = []
         for j, b in enumerate(w):
-            top, at = 0.0, -1
-            for i in range(j):
+            kept = []
+            for i in near:
+                if w[i].end + REACH >= b.start:
+                    kept.append(i)
+                elif best[i] > far:
+                    far, far_at = best[i], i
+            near = kept
+            top, at = far, far_at
+            for i in near:
                 a = w[i]
                 if a.end <= b.start and (v := best[i] + get(_pair(a, b), 0.0)) > top:
                     top, at = v, i
             best.append(top + model.score(b))
             back.append(at)
+            near.append(j)
         j = max(range(len(w)), key=best.__getitem__)
         if best[j] <= 0:
             continue
