@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.tables import table
+AREAS = ("corpus", "retrieval")
+
+
+def _areas():
+    return [importlib.import_module(f"tessera.plans.{a}") for a in AREAS]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("source").count()
+    """Evidence of every question: keyword and structured search, fused and reranked."""
+    from tessera.plans import retrieval
+
+    return retrieval.hybrid_evidence(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for a in _areas() for k, v in a.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for a in _areas() for k, v in a.SQL.items()}
