@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("corpus", "retrieval")
+AREAS = ("corpus", "retrieval", "answers")
 
 
 def _areas():

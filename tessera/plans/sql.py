@@ -84,10 +84,10 @@ def numbers_with_units(c: str) -> str:
     """The figures of a text: their starts are marked first, since there is no look-behind."""
     marked = f"regexp_replace({c}, '(^|[^\\p{{L}}\\p{{N}}_.])(\\d)', '\\1§\\2', 'g')"
     pattern = r"§(\d+(?:[.,]§?\d+)?)\s*(°\s?[CF]|µ?[A-Za-z]+(?:[- ][A-Za-z]+)?)?"
-    value = "cast(replace(replace(n.f, ',', ''), '§', '') as double)"
+    value = "cast(replace(replace(zz.f, ',', ''), '§', '') as double)"
     shown = f"case when {value} = floor({value}) then cast(cast({value} as decimal(38,0)) as varchar) else cast({value} as varchar) end"
     pairs = f"list_transform(list_zip(regexp_extract_all({marked}, {q(pattern)}, 1), regexp_extract_all({marked}, {q(pattern)}, 2)), lambda p: {{'f': p[1], 'u': p[2]}})"
-    return f"list_distinct(list_transform({pairs}, lambda n: {shown} || {unit('n.u')}))"
+    return f"list_distinct(list_transform({pairs}, lambda zz: {shown} || {unit('zz.u')}))"
 
 
 def partial_date(c: str) -> str:
