@@ -87,7 +87,7 @@ def grade(answers: DataFrame, specs: DataFrame) -> DataFrame:
 
 def question_results(grades: DataFrame) -> DataFrame:
     """(answer_id, passed, score): a question passes if all its graders do; its score is their mean."""
-    return grades.groupBy("answer_id").agg(F.bool_and("passed").alias("passed"), F.round(F.avg("score"), 6).alias("score"))
+    return grades.groupBy("answer_id").agg(F.bool_and("passed").alias("passed"), F.round(F.avg("score"), 9).alias("score"))
 
 
 def run_metrics(results: DataFrame, freshness_days: Column | None = None) -> DataFrame:

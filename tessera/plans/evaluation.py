@@ -195,7 +195,7 @@ _TPL = ", ".join(f"({i}, {D.q(s)}, {D.q(t)})" for i, s in enumerate(E.STRATEGIES
 
 SQL = {
     "grade_answers": f"with {_GRADES} select answer_id, kind, passed, score from grades",
-    "question_passes": f"with {_GRADES} select answer_id, bool_and(passed) passed, round(avg(score), 6) score from grades group by 1",
+    "question_passes": f"with {_GRADES} select answer_id, bool_and(passed) passed, round(avg(score), 9) score from grades group by 1",
     "stored_grades": f"""with {RESULTS}, g as (select run_id, unnest(json_extract(scores, '$[*]')) x from r) select run_id, x ->> '$.kind' kind, count(*) n, count(*) filter ((x ->> '$.passed')::boolean) passed, round(sum((x ->> '$.score')::double), 2) sum_score from g group by all""",
     "eval_by_type": f"with {RESULTS} select qtype, count(*) total, count(*) filter (passed) passed, round(count(*) filter (passed) / count(*), 3) rate from r group by 1",
     "eval_metrics": _METRICS + " select run_id, metric, value from metrics",
