@@ -33,6 +33,7 @@ _GAP = re.compile(r"[\W_]+")
 class Settings:
     """``run`` consecutive words are an exact leak; seeds have ``gram`` words; an alignment
     counts as an edited copy from ``min_share`` of the item's best score and ``min_score`` on;
+    an n-gram is rare in up to ``rare_docs`` documents or ``rare_share`` of them;
     ``block_chars`` bounds what one block of items brings to a task."""
 
     run: int = RUN
@@ -42,6 +43,8 @@ class Settings:
     gap: int = -1
     min_share: float = 0.4
     min_score: int = 24
+    rare_docs: int = 5
+    rare_share: float = 0.001
     block_chars: int = 16_000_000
 
 
@@ -132,17 +135,22 @@ def _aligner(items: list[tuple[int, list[tuple[str, list[str]]]]], s: Settings):
 LEAKS = "doc_id bigint, item_id bigint, field string, longest_run int, score int, share double"
 
 
-def _rare_seeds(fields: list[tuple[int, list[str]]], df: dict[str, int], s: Settings) -> dict[str, set[int]]:
-    """Seed n-gram -> items: of each window of ``run`` words the n-gram in fewest documents.
-    A field shorter than a window is one window; one shorter than an n-gram has no seed."""
+def _rare_seeds(fields: list[tuple[int, list[str]]], df: dict[str, int], documents: int, s: Settings) -> dict[str, set[int]]:
+    """Seed n-gram -> items. Of each window of ``run`` words the n-gram in fewest documents is a seed;
+    if some n-gram of the window is in none, no document holds the window whole, and the rarest of
+    the others is a seed only if it is rare, to find edited copies. A field shorter than a window
+    is one window; one shorter than an n-gram has no seed."""
     seeds: dict[str, set[int]] = defaultdict(set)
     for item, w in fields:
         grams = _grams(w, s.gram)
         span = s.run - s.gram + 1
         for i in range(max(1, len(grams) - span + 1)):
             window = grams[i : i + span]
-            if window:
-                seeds[min(window, key=lambda g: df.get(g, 0))].add(item)
+            held = [g for g in window if g in df]
+            if held:
+                rarest = min(held, key=df.__getitem__)
+                if len(held) == len(window) or df[rarest] <= max(s.rare_docs, s.rare_share * documents):
+                    seeds[rarest].add(item)
     return seeds
 
 
@@ -189,7 +197,7 @@ def _block(docs: DataFrame, block: list[tuple[int, list[tuple[str, list[str]]]]]
     counts = held.select(F.explode("__grams").alias("g")).groupBy("g").count().collect()
     df = {grams[r["g"]]: r["count"] for r in counts}
     place = {g: k for k, g in enumerate(grams)}
-    seeds = [(place[g], item) for g, own in _rare_seeds(fields, df, s).items() for item in own if g in df]
+    seeds = [(place[g], item) for g, own in _rare_seeds(fields, df, docs.count(), s).items() for item in own if g in df]
     seed = spark.createDataFrame(seeds, "g int, item bigint")
     pairs = held.select("__doc", F.explode("__grams").alias("g")).join(F.broadcast(seed), "g").groupBy("__doc").agg(F.collect_set("item").alias("__items"))
     pairs = materialise(pairs, "leak-pairs")

@@ -170,6 +170,7 @@ Redaktion _, 0-0-0
 Abrufdatum 0-0-0, Archivnummer 0
 Die Angaben von _ erfolgen ohne Gewähr und ersetzen keine Beratung.
 © 0 _. Alle Rechte vorbehalten.
+© 0 _. All rights reserved.
 - Untersuchung: der Behälter von _ und der Schrank von _ (_)
 0. Untersuchung: der Filter von _ und das Ventil von _ (_)
 Accueil

@@ -320,18 +320,22 @@ def _tagger(model: crf.Model, s: Shares):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked: dict[str, tuple[frozenset[str], tuple[str, float]]] = {}
         for pdf in batches:
+            if len(asked) > 20_000:  # only a memo
+                asked.clear()
             cut, todo = [], []
             for q, a in zip(pdf["__question"], pdf["__answer"]):
                 q = q or ""
                 if q not in asked:
-                    if len(asked) > 20_000:
-                        asked.clear()
                     asked[q] = frozenset(words(q)), _best(language(words(q)))
                 parts = clauses(a) if a else []
                 lows = [words(p) for p in parts]
                 cut.append([len(x) for x in lows])
                 todo.append(features(parts, lows, *asked[q]))
-            found = [defect(p, t, s) for p, t in zip(cut, crf.decode(model, todo))]
+            tags = crf.decode(model, todo)
+            for i, q in enumerate(pdf["__question"]):
+                if not (q and asked[q][0]):  # nothing asked: nothing to copy, no language to miss
+                    tags[i] = ["answer" if t in ("echo", "foreign") else t for t in tags[i]]
+            found = [defect(p, t, s) for p, t in zip(cut, tags)]
             yield pd.DataFrame({"rec_table": pdf["__table"], "rec_id": pdf["__id"].astype("int64"), "defect": pd.Series(found, dtype="object")}).dropna(subset=["defect"])
 
     return run
