@@ -144,7 +144,7 @@ def numbers_with_units(c: Column | str) -> Column:
 
     def show(f: Column, u: Column) -> Column:
         v = F.regexp_replace(f, ",", "").cast("double")
-        return F.concat(F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string")), canonical_unit(u))
+        return F.concat(F.when((v == F.floor(v)) & (v < 9e18), v.cast("bigint").cast("string")).when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string")), canonical_unit(u))
 
     return F.array_distinct(F.zip_with(figures, units, show))
 

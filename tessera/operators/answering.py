@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import constants as C
 from tessera.functions import text as T
+from tessera.operators.retrieval import BROADCAST_TERMS, small, spread
 
 MIN_SUPPORT = 0.34
 MIN_QUESTION_COVERAGE = 0.3
@@ -144,8 +145,8 @@ def ratios(grounded: DataFrame) -> DataFrame:
 def contradictions(evidence: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """(question_id, rank_a, rank_b, unit): pairs of a question's passages from different sources that
     share half of the first one's terms and give disjoint figures for a unit (the least such)."""
-    b = bundle(evidence).select("question_id", F.explode("ev").alias("e"))
-    side = lambda n: b.select("question_id", *[F.col(f"e.{c}").alias(f"{c}_{n}") for c in ("rank", "source_id", "terms", "numbers")])
+    b = evidence.select("question_id", "rank", "source_id", T.content_terms("text").alias("terms"), T.numbers_with_units("text").alias("numbers"))
+    side = lambda n: b.select("question_id", *[F.col(c).alias(f"{c}_{n}") for c in ("rank", "source_id", "terms", "numbers")])
     pairs = side("a").join(side("b"), "question_id").where("rank_a < rank_b and source_id_a != source_id_b")
     pairs = pairs.where(T.coverage(F.col("terms_a"), F.col("terms_b")) >= min_overlap)
     unit = lambda x: F.regexp_extract(x, "[a-z°%]+$", 0)
@@ -224,9 +225,10 @@ def verify(claims: DataFrame, passages: DataFrame, sources: DataFrame) -> DataFr
     that states it; support of a subject's own pages alone is self reported, or a label if it
     stands in short lines only."""
     c = claims.select("claim_id", "claim", T.content_terms("claim").alias("terms")).withColumn("n_terms", F.size("terms"))
-    held = passages.select("chunk_id", F.explode(T.content_terms(F.concat_ws(" ", "section", "text"))).alias("term"))
-    each = c.select("claim_id", "n_terms", F.explode("terms").alias("term"))
-    met = each.join(held, "term").groupBy("claim_id", "n_terms", "chunk_id").agg(F.count("*").alias("met"))
+    # passages are shuffled once, by id; pairs of claims and passages are counted where the passage is
+    held = spread(passages, "chunk_id").select("chunk_id", F.explode(T.content_terms(F.concat_ws(" ", "section", "text"))).alias("term"))
+    each = small(c.select("claim_id", "n_terms", F.explode("terms").alias("term")), BROADCAST_TERMS)
+    met = held.join(each, "term").groupBy("claim_id", "n_terms", "chunk_id").agg(F.count("*").alias("met"))
     need = F.when(F.col("n_terms") <= 3, 1.0).otherwise(0.6)
     support = met.where(F.col("met") / F.col("n_terms") >= need).select("claim_id", "chunk_id")
     kind = sources.select("source_id", F.col("source_type").isin(list(SELF_TYPES)).alias("own")).dropDuplicates(["source_id"])

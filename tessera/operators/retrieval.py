@@ -34,21 +34,43 @@ def top(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
+#: Up to so many (question, term) rows the questions' terms are sent to every task.
+BROADCAST_TERMS = 1_000_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` partitioned by ``key`` into the session's number of shuffle partitions: rows that are
+    about to multiply must not be put together for being few bytes now."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bm25(questions: DataFrame, passages: DataFrame, k: int = C.CANDIDATE_K) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k best passages by BM25; repeated question words
-    count as often as they stand. The question words are joined to the postings, so only passages
-    with one of them are ever scored."""
-    post = materialise(postings(passages), "postings")  # read three times below
-    sizes = post.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    count as often as they stand.
+
+    Passages are shuffled once, by id. Everything after (term counts, lengths, the join with the
+    questions' terms, the sum per question and passage) keeps that partitioning, and the ranking
+    sends on at most k rows a question and task."""
     asked = _exploded(questions, ["question_id"], "question").groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / F.col("avg_len"))
+    asked = small(materialise(asked, "asked"), BROADCAST_TERMS)
+    vocabulary = asked.select("term").distinct()
+    post = postings(spread(passages, "chunk_id"))
+    wanted = post.join(small(vocabulary, BROADCAST_TERMS).withColumn("asked", F.lit(True)), "term", "left")
+    rows = wanted.groupBy("chunk_id").agg(F.sum("tf").alias("len"), F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("terms"))
+    rows = materialise(rows, "postings")  # read for the counts, then for the scores
+    df = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    stats = passages.agg(F.count("*").alias("n")).crossJoin(rows.agg(F.sum("len").alias("total")))
+    norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") * F.col("n") / F.col("total"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = wanted.join(df, "term").join(sizes, "chunk_id").crossJoin(F.broadcast(stats))  # one row of statistics
+    each = spread(rows, "chunk_id").select("chunk_id", "len", F.explode("terms").alias("t")).select("chunk_id", "len", "t.term", "t.tf")
+    weighed = each.join(small(df, BROADCAST_TERMS), "term").crossJoin(F.broadcast(stats))  # one row of statistics
     weighed = weighed.select("chunk_id", "term", (idf * F.col("tf") * (C.BM25_K1 + 1) / norm).alias("weight"))
-    scored = asked.join(weighed, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
+    scored = weighed.join(asked, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
     return top(scored.where("score > 0"), "question_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 

@@ -17,7 +17,8 @@ OUTSIDE = ("resale price of a battery module", "water supply of a city", "job of
 
 
 def _evidence(s, d):
-    ev = R.hybrid_evidence(s, d).join(R._passages(s, d).select("chunk_id", "text"), "chunk_id")
+    p = R._passages(s, d)
+    ev = R.hybrid_evidence(s, d, p).join(p.select("chunk_id", "text"), "chunk_id")
     return materialise(ev, "evidence")  # used several times by every check
 
 
@@ -82,7 +83,7 @@ def verify_claims(s, d):
 
 
 _NUMS = D.numbers_with_units("lower(text)")
-_EV = f"""{R.EVIDENCE}, ev as (select e.question_id, e.rank, e.source_id, e.authority, e.score, e.retrievers, p.text, {D.content_terms("p.text")} terms, {D.numbers_with_units("lower(p.text)")} numbers, lower(p.text) low
+_EV = f"""{R.EVIDENCE}, ev as (select e.question_id, e.rank, e.source_id, e.authority, e.score, e.retrievers, p.text, {D.content_terms("p.text")} terms, {D.numbers_with_units("lower(p.text)")} numbers, lower(p.text) low, {D.numbers_with_units("p.text")} raw
   from evidence e join passages p using (chunk_id)), n_ev as (select question_id, count(*) n, max(score) top from ev group by 1)"""
 _RARE = f"""terms_q as (select question_id, question, unnest({D.content_terms("question")}) term from questions),
   rare as (select t.question_id, t.term, ln(1.0 + greatest(1, coalesce(max(n), 0)) / (1.0 + count(ev.rank))) w, count(ev.rank) held from terms_q t left join n_ev using (question_id)
@@ -112,7 +113,7 @@ _GROUND = f"""with {_EV}, base as (select id, {D.normalise("text")} as text from
   ratios as (select answer_id, count(*) filter (is_claim) claims, round(coalesce(avg(supported::integer), 1.0), 6) grounded_ratio,
      round(case when sum(n_citations) > 0 then 1 - sum(n_invalid) / sum(n_citations) else 1.0 end, 6) citation_validity from grounded group by 1)"""
 _UNIT = lambda x: f"regexp_extract({x}, '[a-z°%]+$')"
-_CONFLICT = f"""pairs as (select a.question_id, a.rank rank_a, b.rank rank_b, a.numbers na, b.numbers nb from ev a join ev b on a.question_id = b.question_id and a.rank < b.rank and a.source_id <> b.source_id
+_CONFLICT = f"""pairs as (select a.question_id, a.rank rank_a, b.rank rank_b, a.raw na, b.raw nb from ev a join ev b on a.question_id = b.question_id and a.rank < b.rank and a.source_id <> b.source_id
     where {D.coverage("a.terms", "b.terms")} >= 0.5),
   conflicts as (select question_id, rank_a::integer rank_a, rank_b::integer rank_b, list_min(list_filter(list_intersect(list_transform(na, lambda x: {_UNIT("x")}), list_transform(nb, lambda x: {_UNIT("x")})),
     lambda u: u <> '' and len(list_intersect(list_filter(na, lambda x: {_UNIT("x")} = u), list_filter(nb, lambda x: {_UNIT("x")} = u))) = 0)) unit from pairs)"""

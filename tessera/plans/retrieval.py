@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import lsa, passages, retrieval
 from tessera.plans import sql as D
 from tessera.plans.corpus import PASSAGES
+from tessera.session import materialise
 from tessera.sources.tables import table
 
 #: The date ages are counted to; a parameter, so that results do not depend on the day of the run.
@@ -17,7 +18,8 @@ K1, B, SW, N = C.BM25_K1, C.BM25_B, C.SECTION_WEIGHT, C.CANDIDATE_K
 
 
 def _passages(s, d):
-    return passages.passages(table(s, d, "chunks"), table(s, d, "documents"))
+    """Passages, written once: every retriever and the evidence read them again."""
+    return materialise(passages.passages(table(s, d, "chunks"), table(s, d, "documents")), "passages")
 
 
 def _questions(s, d):
@@ -82,8 +84,8 @@ def rrf_fuse(s, d):
     return retrieval.fuse(lists).select("question_id", "chunk_id", F.round("fused", 9).alias("fused"), "retrievers")
 
 
-def hybrid_evidence(s, d):
-    p, src = _passages(s, d), _sources(s, d)
+def hybrid_evidence(s, d, p=None):
+    p, src = p or _passages(s, d), _sources(s, d)
     lists = {"keyword": retrieval.bm25(_questions(s, d), p), "structured": retrieval.structured(_questions(s, d), p, src)}
     return retrieval.rerank(retrieval.fuse(lists), p, src, F.lit(AS_OF).cast("date"))
 
@@ -107,7 +109,7 @@ POSTINGS = f"""passages as ({PASSAGES}),
  postings as (select chunk_id, term, sum(w) tf from (select chunk_id, unnest({D.keyword_terms('text')}) term, 1.0::double w from passages
    union all select chunk_id, unnest({D.keyword_terms('section')}), {SW}::double from passages) group by all)"""
 BM25 = f"""{POSTINGS},
- sizes as (select chunk_id, sum(tf) len from postings group by 1), stats as (select count(*) n, avg(len) avg_len from sizes),
+ sizes as (select chunk_id, sum(tf) len from postings group by 1), stats as (select (select count(*) from passages) n, (select sum(len) from sizes) / (select count(*) from passages) avg_len),
  df as (select term, count(*) df from postings group by 1),
  asked as (select question_id, term, count(*) times from (select question_id, unnest({D.keyword_terms('question')}) term from questions) group by all),
  scored as (select question_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len / avg_len))), 6) score
