@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
-from tessera.operators import answering
+from tessera.operators import answering, asking
 from tessera.plans import retrieval as R
 from tessera.plans import sql as D
 from tessera.plans.corpus import _SENTENCES, PASSAGES
@@ -174,3 +174,18 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     gate_scope, gate_reproduction, question_gates, gate_responsive, grounding_sentences, grounding_ratios, contradictions, extractive_scores, extractive_answer, answer_confidence, verify_claims,
 )}
+
+
+def ask_batch(s, d):
+    """All questions asked at once; the answers are put together from the evidence."""
+    return asking.ask(R._questions(s, d), _evidence(s, d), R._sources(s, d), INSIDE, OUTSIDE)
+
+
+def prompt_hashes(s, d):
+    p = asking.prompts(R._questions(s, d), _evidence(s, d), "Answer from the passages only.")
+    return p.select("question_id", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+QUERIES |= {f.__name__: f for f in (ask_batch, prompt_hashes)}
+SQL["prompt_hashes"] = f"""with {_EV} select q.question_id, sha256('Answer from the passages only.' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || case when length(text) <= 1600 then text else regexp_replace(left(text, 1599), '\\s+$', '') || '…' end, chr(10) || chr(10) order by rank)
+  || chr(10) || chr(10) || 'QUESTION: ' || question) prompt_sha from questions q join ev using (question_id) group by q.question_id, question"""
