@@ -91,7 +91,7 @@ _ADDRESSES = (
 
 _AT = re.compile(r"([\w+'’-]+(?:\.[\w+'’-]+)*)(\s{0,2}(?:@|\(at\)|\[at\]|\sat\s)\s{0,2})([\w-]+(?:(?:\.|\s{0,2}(?:\(dot\)|\[dot\]|\sdot\s)\s{0,2})[\w-]+)+)", re.I)
 _MARKED = re.compile(r"@|\((?:at|dot)\)|\[(?:at|dot)\]|\sdot\s", re.I)
-_DIGITS = re.compile(r"(?<![\w.,/-])(?:\+\d{1,3}|\(\d{1,5}\)|\d{2,5})(?:[ \xa0.\-/\n]{0,2}\(?\d{1,6}\)?){1,7}(?![\w/])")
+_DIGITS = re.compile(r"(?<![\w.,/-])(?=[+(\d](?:\D{0,4}\d){6})(?:\+\d{1,3}|\(\d{1,5}\)|\d{2,5})(?:[ \xa0.\-/\n]{0,2}\(?\d{1,6}\)?){1,7}(?![\w/])")
 _EXT = re.compile(r"\s{0,2}(?:ext\.?|extension|x|poste|Durchwahl)\s{0,2}\d{1,5}\b", re.I)
 _CODE = re.compile(r"[A-Z]{0,5}[ -]?\d[\dA-Z]*(?:[ -][\dA-Z]{1,8}){0,6}\b")
 _TO_CODE = re.compile(r"[\s\w.:=#°º()-]{0,26}?(?<![\w-])(?=[A-Z0-9])")
@@ -104,6 +104,8 @@ _WORD_BEFORE = re.compile(rf"({_NAME_TOKEN}){_S}$")
 _AFTER_REVERSED = re.compile(rf"{_S}[A-Za-z]\.(?!\w)")
 _INITIAL = re.compile(rf"(?<![\w.'’°-])[A-Z]\.{_S}(?:[A-Z]\.{_S})?{_PARTICLE}{_CAP}")
 _REVERSED_INITIAL = re.compile(rf"(?<![\w.'’°-]){_CAP},{_S}[A-Z]\.(?!\w)(?!\s*[A-Z]\.\s*[A-Z])")
+_INITIAL_LETTER = re.compile(r"(?<!\w)[A-Z]\.")
+_SURNAME_BEFORE = re.compile(rf"(?<![\w.'’°-]){_CAP},{_S}$")
 _PAIR = re.compile(rf"{_CAP}(?:{_S}[A-Z]\.)?{_S}{_CAP}|{_CAP},{_S}{_CAP}(?:{_S}[A-Z]\.)?")
 _TRIM = ".,;:!?()[]\"“”«»*=—–-"
 
@@ -150,14 +152,16 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):  # a letter that grows in lower case would shift all offsets
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        flat = low.translate(_BLANKS)
-        if _MARKED.search(low):
+        flat = low
+        for blank in _BLANKS:
+            flat = flat.replace(blank, " ")
+        if "@" in flat or "(at)" in flat or "[at]" in flat or " dot " in flat:
             self._emails(text, out)
-        self._numbers(text, low, out)
-        if "." in text:
-            for m in _INITIAL.finditer(text):
+        self._numbers(text, out)
+        for i in _INITIAL_LETTER.finditer(text):
+            if m := _INITIAL.match(text, i.start()):
                 self._name(text, m.start(), m.end(), "initial", out)
-            for m in _REVERSED_INITIAL.finditer(text):
+            if (m := _SURNAME_BEFORE.search(text, max(0, i.start() - 40), i.start())) and (m := _REVERSED_INITIAL.match(text, m.start())):
                 self._name(text, m.start(), m.end(), "reversed initial", out)
         tried: set[tuple[int, int]] = set()
         for last, (what, value) in self._auto.iter(f" {flat} "):
@@ -179,7 +183,16 @@ class Finder:
             out[a, b, kind] = Segment(a, b, kind, tuple(features))
 
     def _emails(self, text: str, out: dict) -> None:
-        for m in _AT.finditer(text):
+        done = 0
+        for mark in _MARKED.finditer(text):
+            if mark.start() < done:
+                continue
+            # an address is sought around the mark alone, from the start of a word
+            a = max(done, mark.start() - 80)
+            m = next((x for x in _AT.finditer(text, a, mark.end() + 140) if x.end() > mark.start()), None)
+            if m is None or m.start() > mark.start():
+                continue
+            done = m.end()
             sign = m[2].strip().lower()
             if sign == "at" and not re.search(r"\sdot\s", m[3], re.I):
                 continue
@@ -188,7 +201,7 @@ class Finder:
                 fs.append("email bad end")
             self._add(out, m.start(), m.end(), "email", fs)
 
-    def _numbers(self, text: str, low: str, out: dict) -> None:
+    def _numbers(self, text: str, out: dict) -> None:
         for m in _DIGITS.finditer(text):
             whole = m.group()
             spans = {(m.start(), m.end())}
@@ -329,7 +342,7 @@ class Finder:
         self._add(out, a, b, "name", fs)
 
 
-_BLANKS = {ord(c): " " for c in "\n\r\t\x0b\x0c\xa0     "}
+_BLANKS = "\n\r\t\x0b\x0c\xa0\u2002\u2003\u2009\u202f"
 
 
 def _same_case(a: str, b: str) -> bool:
