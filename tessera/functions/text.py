@@ -29,9 +29,9 @@ def _trimmed(x: Column) -> Column:
 def normalise(c: Column | str) -> Column:
     """No-break blanks to blanks, line ends to \\n, runs of blanks to one, three or more line ends
     to two, trimmed. (Compatibility forms of letters are left to the reader of raw files.)"""
-    t = F.translate(_col(c), "\u00a0", " ")
+    t = F.replace(_col(c), F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")  # a lone blank need not be replaced by itself
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
