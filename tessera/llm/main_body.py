@@ -13,6 +13,7 @@ only bound). It is stateless per page: one pass, no shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -389,11 +390,11 @@ def _shape(line: str, words: int) -> tuple[float, ...]:
         1.0, line[0] == "#", table, menu, end, bullet, bullet and end, not end and not bullet and words <= 3,
         not end and 4 <= words <= 16, words > 18, bool(_FIGURE.search(line)), line[-1] == "…" or line.endswith("..."),
         len(parts) == 2, line[0] == "©" or "©" in line[:8], ":" in line[-14:] and any(c.isdigit() for c in line[-10:]), "@" in line,
-        line[0] == "[" and end,
+        line[0] == "[" and end, len(line) >= 40 and "://" not in line and len(line.split()) == 1,
     )
 
 
-_SHAPES = 17
+_SHAPES = 18
 
 
 def _evidence(line: str) -> tuple[dict, int, tuple[float, ...]]:
@@ -406,6 +407,7 @@ def fit(furniture: list[str] = FURNITURE, body: list[str] = BODY, decay: float =
     """Weights of words and word pairs, and of the forms: logistic regression by accelerated
     gradient descent, deterministic. The fitting lines are its bound."""
     lines = [(x.replace("_", "Norwell"), 1.0) for x in furniture] + [(x.replace("_", "Norwell"), 0.0) for x in body]
+    lines += [(hashlib.sha512(bytes([k])).hexdigest(), 0.0) for k in range(6)]  # data printed among paragraphs
     lines += [(x, 1.0) for x in _filled(_TEASERS)] + [(x, 0.0) for x in _filled(_NOTES)]
     rows = [(_evidence(x), t) for x, t in lines]
     vocab: dict = {}
