@@ -1,11 +1,10 @@
 """Held-out items inside training documents (problem 7).
 
-Seed and extend. Every item field gives its word n-grams; one scan with an Aho-Corasick
-automaton records which of them each document holds. Counted over all documents, they give for
-each window of ``run`` item words its rarest n-gram: these are the seeds, and no window is
-without one, so no shared run of that length is lost. Documents holding a seed are aligned
-with the item: Smith-Waterman on words scores edited or paraphrased copies, and the longest
-run of common words is taken beside it.
+Seed and extend. Every word n-gram of every item field is a seed; one scan with an Aho-Corasick
+automaton records which of them each document holds, so whether a copy is found does not depend
+on other copies. Each document is aligned with every field it shares an n-gram with:
+Smith-Waterman on words scores edited or paraphrased copies, and the longest run of common words
+is taken beside it. Alignments are skipped only where a bound shows that they cannot count.
 
 The items are the stated query set: they go to the tasks in blocks of bounded size, one scan
 of the documents per block.
@@ -23,8 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
-
 RUN = 12
 _GAP = re.compile(r"[\W_]+")
 
@@ -33,7 +30,6 @@ _GAP = re.compile(r"[\W_]+")
 class Settings:
     """``run`` consecutive words are an exact leak; seeds have ``gram`` words; an alignment
     counts as an edited copy from ``min_share`` of the item's best score and ``min_score`` on;
-    an n-gram is rare in up to ``rare_docs`` documents or ``rare_share`` of them;
     ``block_chars`` bounds what one block of items brings to a task."""
 
     run: int = RUN
@@ -43,8 +39,6 @@ class Settings:
     gap: int = -1
     min_share: float = 0.4
     min_score: int = 24
-    rare_docs: int = 5
-    rare_share: float = 0.001
     block_chars: int = 16_000_000
 
 
@@ -57,26 +51,6 @@ def _grams(w: list[str], n: int) -> list[str]:
     return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
 
 
-def _scanner(grams: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for k, g in enumerate(grams):
-            auto.add_word(f" {g} ", k)
-        auto.make_automaton()
-        for pdf in batches:
-            docs, found = [], []
-            for doc, text in zip(pdf["__doc"], pdf["__text"]):
-                hit = {k for _, k in auto.iter(f" {_GAP.sub(' ', text.lower())} ")}
-                if hit:
-                    docs.append(doc)
-                    found.append(sorted(hit))
-            yield pd.DataFrame({"__doc": pd.Series(docs, dtype="int64"), "__grams": pd.Series(found, dtype="object")})
-
-    return run
-
-
 def smith_waterman(a: np.ndarray, b: np.ndarray, s: Settings) -> int:
     """Best local alignment score of two sequences of word numbers (linear gap cost)."""
     if not len(a) or not len(b):
@@ -91,41 +65,90 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, s: Settings) -> int:
     return best
 
 
-def _aligner(items: list[tuple[int, list[tuple[str, list[str]]]]], s: Settings):
+def smith_waterman_many(many: list[np.ndarray], b: np.ndarray, s: Settings) -> list[int]:
+    """``smith_waterman`` of each of ``many`` (numbers from 0 on, -1 for words not in ``b``) with
+    ``b``, by anti-diagonals: a step takes one cell of every row of all of them, and no gap runs
+    along a step."""
+    long, n = max((len(a) for a in many), default=0), len(b)
+    if not long or not n:
+        return [0] * len(many)
+    if sum(map(len, many)) < n + long:  # fewer steps row by row
+        return [smith_waterman(a, b, s) for a in many]
+    kind = np.int16 if s.match * long < 30_000 else np.int32
+    own = np.full((long, len(many)), -1, dtype=np.int32)
+    for k, a in enumerate(many):
+        own[: len(a), k] = a
+    edge = np.full(long, -2, dtype=np.int32)
+    back = np.concatenate([edge, b.astype(np.int32), edge])[::-1, None].copy()
+    before, last, row = (np.zeros((long + 1, len(many)), dtype=kind) for _ in range(3))
+    best, cell, side, same = np.zeros(own.shape, kind), np.zeros(own.shape, kind), np.zeros(own.shape, kind), np.zeros(own.shape, bool)
+    for d in range(n + long - 1):
+        at = n + long - 1 - d
+        np.equal(own, back[at : at + long], out=same)
+        np.multiply(same, kind(s.match - s.mismatch), out=cell)
+        cell += before[:-1]
+        cell += kind(s.mismatch)
+        np.maximum(last[1:], last[:-1], out=side)
+        side += kind(s.gap)
+        np.maximum(cell, side, out=cell)
+        np.maximum(cell, 0, out=row[1:])
+        np.maximum(best, row[1:], out=best)
+        before, last, row = last, row, before
+    return best.max(axis=0).tolist()
+
+
+def _most(own: np.ndarray, s: Settings) -> int:
+    """No alignment scores more: each of the item's words it spans gives ``match`` if the document
+    holds the word, else at best the smaller loss of a mismatch or a gap."""
+    total = np.concatenate([[0], np.cumsum(np.where(own >= 0, s.match, max(s.mismatch, s.gap)))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
+#: Cells of a step of ``smith_waterman_many``, which bound its memory.
+_STEP = 1 << 16
+
+
+def _finder(items: list[tuple[int, list[tuple[str, list[str]]]]], s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
         fields = [(item, name, w) for item, fs in items for name, w in fs]
-        of_item = defaultdict(list)
-        for k, (item, _, _) in enumerate(fields):
-            of_item[item].append(k)
-        first = [defaultdict(list) for _ in fields]  # each field's n-grams and their places
+        places = defaultdict(list)  # n-gram -> fields that hold it, and where
         for k, (_, _, w) in enumerate(fields):
             for i, g in enumerate(_grams(w, s.gram)):
-                first[k][g].append(i)
+                places[g].append((k, i))
+        auto = ahocorasick.Automaton()
+        for g in places:
+            auto.add_word(f" {g} ", g)
+        auto.make_automaton()
         for pdf in batches:
             out = []
-            for doc, text, wanted in zip(pdf["__doc"], pdf["__text"], pdf["__items"]):
+            for doc, text in zip(pdf["__doc"], pdf["__text"]):
+                flat = f" {_GAP.sub(' ', text.lower())} "
+                if not places or next(auto.iter(flat), None) is None:
+                    continue
                 w = words(text)
+                longest: dict[int, int] = {}
+                run_at: dict[tuple[int, int], int] = {}
+                for g in _grams(w, s.gram):
+                    run_at = {(k, i): run_at.get((k, i - 1), s.gram - 1) + 1 for k, i in places.get(g, ())}
+                    for (k, _), n in run_at.items():
+                        if n > longest.get(k, 0):
+                            longest[k] = n
                 number: dict[str, int] = {}
                 ids = np.array([number.setdefault(x, len(number)) for x in w], dtype=np.int64)
-                grams = _grams(w, s.gram)
-                for item in wanted:
-                    for k in of_item[item]:
-                        own, places = fields[k][2], first[k]
-                        run_at: dict[int, int] = {}
-                        longest, low, high = 0, len(w), -1
-                        for j, g in enumerate(grams):
-                            if g not in places:
-                                run_at = {}
-                                continue
-                            run_at = {i: run_at.get(i - 1, s.gram - 1) + 1 for i in places[g]}
-                            longest = max(longest, max(run_at.values()))
-                            low, high = min(low, max(0, j - max(run_at))), max(high, j + len(own) - min(run_at))
-                        if high < 0:
-                            continue
-                        other = np.array([number.get(x, -1) for x in own], dtype=np.int64)
-                        score = smith_waterman(other, ids[low : high + 1], s)
-                        if longest >= s.run or (score >= s.min_score and score >= s.min_share * s.match * len(own)):
-                            out.append((doc, item, fields[k][1], longest, score, score / max(1, s.match * len(own))))
+                wanted = []
+                for k in sorted(longest, key=lambda k: len(fields[k][2])):
+                    own = np.array([number.get(x, -1) for x in fields[k][2]], dtype=np.int64)
+                    if longest[k] >= s.run or _most(own, s) >= max(s.min_score, s.min_share * s.match * len(own)):
+                        wanted.append((k, own))
+                while wanted:
+                    take = max(1, _STEP // len(wanted[-1][1]))  # longest first
+                    part, wanted = wanted[-take:], wanted[:-take]
+                    for (k, own), score in zip(part, smith_waterman_many([o for _, o in part], ids, s)):
+                        best = s.match * len(own)
+                        if longest[k] >= s.run or (score >= s.min_score and score >= s.min_share * best):
+                            out.append((doc, fields[k][0], fields[k][1], longest[k], score, score / max(1, best)))
             frame = pd.DataFrame(out, columns=["doc_id", "item_id", "field", "longest_run", "score", "share"])
             yield frame.astype({"doc_id": "int64", "item_id": "int64", "longest_run": "int32", "score": "int32", "share": "float64"})
 
@@ -135,25 +158,6 @@ def _aligner(items: list[tuple[int, list[tuple[str, list[str]]]]], s: Settings):
 LEAKS = "doc_id bigint, item_id bigint, field string, longest_run int, score int, share double"
 
 
-def _rare_seeds(fields: list[tuple[int, list[str]]], df: dict[str, int], documents: int, s: Settings) -> dict[str, set[int]]:
-    """Seed n-gram -> items. Of each window of ``run`` words the n-gram in fewest documents is a seed;
-    if some n-gram of the window is in none, no document holds the window whole, and the rarest of
-    the others is a seed only if it is rare, to find edited copies. A field shorter than a window
-    is one window; one shorter than an n-gram has no seed."""
-    seeds: dict[str, set[int]] = defaultdict(set)
-    for item, w in fields:
-        grams = _grams(w, s.gram)
-        span = s.run - s.gram + 1
-        for i in range(max(1, len(grams) - span + 1)):
-            window = grams[i : i + span]
-            held = [g for g in window if g in df]
-            if held:
-                rarest = min(held, key=df.__getitem__)
-                if len(held) == len(window) or df[rarest] <= max(s.rare_docs, s.rare_share * documents):
-                    seeds[rarest].add(item)
-    return seeds
-
-
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, list[tuple[str, list[str]]]]]]:
     block, size = [], 0
     for r in items.toLocalIterator():
@@ -173,32 +177,17 @@ def leaks(documents: DataFrame, items: DataFrame, s: Settings = Settings()) -> D
     documents: doc_id, text; items: item_id, question, expected; other columns are not read.
     ``longest_run`` is the number of consecutive words shared (at least ``gram``), ``score`` the
     Smith-Waterman score, ``share`` that of the field's best possible. A row is given for a run of
-    ``run`` words or an alignment from ``min_score`` and ``min_share`` on. Null and empty texts
+    ``run`` words or an alignment from ``min_score`` and ``min_share`` on; either way document and
+    field share ``gram`` words in a row somewhere, without which nothing is aligned. Null and empty texts
     and fields, and null ids, give nothing; repeated rows give their result once.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").alias("__text")).where("__doc is not null and __text is not null")
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "question", "expected").where("item_id is not null")
-    parts = [_block(docs, block, s) for block in _blocks(wanted, s.block_chars)]
+    parts = [docs.mapInPandas(_finder(block, s), LEAKS) for block in _blocks(wanted, s.block_chars)]
     if not parts:
         return spark.createDataFrame([], LEAKS)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
-
-
-def _block(docs: DataFrame, block: list[tuple[int, list[tuple[str, list[str]]]]], s: Settings) -> DataFrame:
-    spark = docs.sparkSession
-    fields = [(item, w) for item, fs in block for _, w in fs]
-    grams = sorted({g for _, w in fields for g in _grams(w, s.gram)})
-    held = materialise(docs.mapInPandas(_scanner(grams), "__doc bigint, __grams array<int>"), "leak-grams")
-    # one count per n-gram of the block: as bounded as the block itself
-    counts = held.select(F.explode("__grams").alias("g")).groupBy("g").count().collect()
-    df = {grams[r["g"]]: r["count"] for r in counts}
-    place = {g: k for k, g in enumerate(grams)}
-    seeds = [(place[g], item) for g, own in _rare_seeds(fields, df, docs.count(), s).items() for item in own if g in df]
-    seed = spark.createDataFrame(seeds, "g int, item bigint")
-    pairs = held.select("__doc", F.explode("__grams").alias("g")).join(F.broadcast(seed), "g").groupBy("__doc").agg(F.collect_set("item").alias("__items"))
-    pairs = materialise(pairs, "leak-pairs")
-    return docs.join(pairs, "__doc").select("__doc", "__text", "__items").mapInPandas(_aligner(block, s), LEAKS)

@@ -85,3 +85,25 @@ def test_eleven_words_do_not_count(spark):
 def test_very_long_text(spark):
     item = " ".join(f"k{k}" for k in range(12))
     assert exact(run(spark, [(1, "filler words " * 60_000 + item)], [(1, item, None)])) == [(1, 1)]
+
+
+def test_edited_copies_do_not_depend_on_other_copies(spark):
+    own = [f"t{k}" for k in range(60)]
+    edited = " ".join("changed" if k % 10 == 5 else w for k, w in enumerate(own))
+    other = " ".join("altered" if k % 9 == 4 else w for k, w in enumerate(own))
+    docs = [(0, " ".join(own)), (1, edited)] + [(k, other) for k in range(2, 42)]
+    got = {r.doc_id: r for r in run(spark, docs, [(7, None, " ".join(own))])}
+    assert sorted(got) == list(range(42))
+    assert got[0].longest_run == 60 and got[1].longest_run == 9 and got[2].longest_run == 8 and got[41].score == got[2].score
+    without = {r.doc_id: r for r in run(spark, docs[1:2], [(7, None, " ".join(own))])}
+    assert without[1] == got[1]
+
+
+def test_many_alignments_at_once_score_as_one_by_one():
+    r, s = np.random.default_rng(5), L.Settings()
+    for _ in range(20):
+        b = r.integers(0, 6, r.integers(1, 40))
+        many = [r.integers(-1, 6, r.integers(0, 25)) for _ in range(12)]
+        want = [L.smith_waterman(a, b, s) for a in many]
+        assert L.smith_waterman_many(many, b, s) == want
+        assert all(L._most(np.where(np.isin(a, b), a, -1), s) >= x for a, x in zip(many, want))
