@@ -113,10 +113,12 @@ def transcript(s, d):
 
 
 def source_detail(s, d):
-    """Sections of each source in order: number, characters, first and last section."""
-    c = table(s, d, "chunks").where("source_id is not null and char_end is not null").distinct()
-    o = F.struct("document_id", "ordinal", "chunk_id")
-    return c.groupBy("source_id").agg(F.count("*").alias("sections"), F.sum(F.col("char_end") - F.col("char_start")).alias("chars"), F.min_by("chunk_id", o).alias("first"), F.max_by("chunk_id", o).alias("last"))
+    """Sections of each source in order: number, characters, first and last section. A null end is
+    the text's end; a section whose end is unknown, as its document is missing, counts without characters."""
+    c = table(s, d, "chunks").where("source_id is not null").distinct()
+    c = c.join(_docs(s, d).select(F.col("doc_id").alias("document_id"), F.length("text").alias("text_end")), "document_id", "left")
+    o, end = F.struct("document_id", "ordinal", "chunk_id"), F.coalesce("char_end", "text_end")
+    return c.groupBy("source_id").agg(F.count("*").alias("sections"), F.sum(end - F.col("char_start")).alias("chars"), F.min_by("chunk_id", o).alias("first"), F.max_by("chunk_id", o).alias("last"))
 
 
 def table_counts(s, d):
