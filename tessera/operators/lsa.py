@@ -7,6 +7,7 @@ every passage is encoded, in Arrow batches against the broadcast projection of f
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
 from tessera.functions import text as T
+from tessera.operators.retrieval import top
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,7 @@ class Model:
 
 def _rows(docs: list[list[str]], terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coordinates of the length-normalised tf-idf rows (sublinear term counts)."""
-    r, c, v = [], [], []
+    r, c, v = array("q"), array("q"), array("d")
     for i, d in enumerate(docs):
         counts: dict[int, int] = {}
         for t in d:
@@ -38,13 +41,19 @@ def _rows(docs: list[list[str]], terms: dict[str, int], idf: np.ndarray) -> tupl
             norm = np.sqrt(sum(x * x for x in w.values()))
             for j, x in w.items():
                 r.append(i), c.append(j), v.append(x / norm)
-    return np.array(r, dtype=np.int64), np.array(c, dtype=np.int64), np.array(v)
+    return np.array(r, dtype=np.int64), np.array(c, dtype=np.int64), np.array(v, dtype=np.float64)
+
+
+#: Entries multiplied at once, which bounds memory.
+_AT_ONCE = 20_000
 
 
 def _times(coo, x: np.ndarray, n: int) -> np.ndarray:
     r, c, v = coo
     out = np.zeros((n, x.shape[1]))
-    np.add.at(out, r, v[:, None] * x[c])
+    for i in range(0, len(r), _AT_ONCE):
+        part = slice(i, i + _AT_ONCE)
+        np.add.at(out, r[part], v[part, None] * x[c[part]])
     return out
 
 
@@ -53,13 +62,14 @@ def _times_t(coo, x: np.ndarray, m: int) -> np.ndarray:
     return _times((c, r, v), x, m)
 
 
-def fit(passages: DataFrame, vocabulary: DataFrame, dimensions: int = 64, sample: int = 5000, seed: int = 20260918) -> Model:
+def fit(passages: DataFrame, vocabulary: DataFrame, dimensions: int = 192, sample: int = 5000, seed: int = 20260918) -> Model:
     vocab = sorted((row["term"], row["idf"]) for row in vocabulary.collect())  # at most the vocabulary's cap
     terms = {t: i for i, (t, _) in enumerate(vocab)}
     idf = np.array([x for _, x in vocab])
     picked = passages.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select(T.transform_terms("section", "text").alias("t")).collect()
-    coo = _rows([row["t"] for row in picked], terms, idf)
     n, m = len(picked), len(terms)
+    coo = _rows([row["t"] for row in picked], terms, idf)
+    del picked, vocab
     k = max(1, min(dimensions, n, m))
     rng = np.random.default_rng(seed)
     y = _times(coo, rng.standard_normal((m, min(m, k + 10))), n)
@@ -68,18 +78,59 @@ def fit(passages: DataFrame, vocabulary: DataFrame, dimensions: int = 64, sample
         z, _ = np.linalg.qr(_times_t(coo, y, m))
         y = _times(coo, z, n)
     basis, _ = np.linalg.qr(y)
+    y = z = None
     _, _, vt = np.linalg.svd(_times_t(coo, basis, m).T, full_matrices=False)
     return Model(terms, idf, vt[:k].T.astype(np.float32))
 
 
+def _vectors(texts: pd.Series, model: Model) -> np.ndarray:
+    x = _times(_rows([list(t) for t in texts], model.terms, model.idf), model.project.astype(np.float64), len(texts))
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
 def encode(passages: DataFrame, model: Model) -> DataFrame:
     """(chunk_id, vector): unit vectors; passages without a known term have the zero vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            coo = _rows([list(t) for t in pdf["t"]], model.terms, model.idf)
-            x = _times(coo, model.project.astype(np.float64), len(pdf))
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "vector": list(x.astype(np.float32))})
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "vector": list(_vectors(pdf["t"], model))})
 
     return passages.select("chunk_id", T.transform_terms("section", "text").alias("t")).mapInPandas(run, "chunk_id string, vector array<float>")
+
+
+def search(questions: DataFrame, passages: DataFrame, model: Model, k: int = C.CANDIDATE_K, block: int = 2000) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the k passages nearest to each question by cosine, as far
+    as that is above zero; a question without a known term finds nothing. Questions go to the tasks
+    in blocks, as those of ``retrieval.nearest``; passages are encoded where they are compared."""
+    schema = "question_id string, chunk_id string, score double"
+
+    def against(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: pd.DataFrame | None = None
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                s = np.round(q @ _vectors(pdf["t"], model).astype(np.float64).T, 6)
+                take = min(s.shape[1], k)
+                cut = np.maximum(np.partition(s, -take, axis=1)[:, -take], 1e-6)  # ties of the last place stay
+                rows, cols = np.nonzero(s >= cut[:, None])
+                new = pd.DataFrame({"question_id": ids[rows], "chunk_id": pdf["chunk_id"].to_numpy()[cols], "score": s[rows, cols]})
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["question_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("question_id").head(k)
+            if best is not None:
+                yield best
+
+        return passages.select("chunk_id", T.transform_terms("section", "text").alias("t")).mapInPandas(run, schema)
+
+    asked = encode(questions.where("question is not null").select(F.col("question_id").alias("chunk_id"), F.lit("").alias("section"), F.col("question").alias("text")), model)
+    parts, pending = [], []
+    for r in asked.toLocalIterator():
+        if any(r["vector"]):
+            pending.append((r["chunk_id"], r["vector"]))
+        if len(pending) == block:
+            parts.append(pending)
+            pending = []
+    found: DataFrame = questions.sparkSession.createDataFrame([], schema)
+    for part in [*parts, pending] if pending else parts:
+        found = found.unionByName(against(np.array([i for i, _ in part], dtype=object), np.array([v for _, v in part], dtype=np.float64)))
+    return top(found, "question_id", [F.desc("score"), F.asc("chunk_id")], k)

@@ -182,6 +182,21 @@ def expand(start: DataFrame, triples: DataFrame, hops: int = 2) -> DataFrame:
     return out
 
 
+def graph_questions(questions: DataFrame, entities: DataFrame, triples: DataFrame, hops: int = 2, first: int = 20) -> DataFrame:
+    """(question_id, question): the names of the ``first`` entities each question's own lead to,
+    nearest first, then by name."""
+    texts = questions.where("question is not null").select(F.col("question_id").alias("text_id"), F.col("question").alias("text"))
+    matched = materialise(match_entities(texts, entities), "matched")
+    named = top(expand(matched, triples, hops), "text_id", [F.asc("hop"), F.asc("entity")], first)
+    return named.groupBy(F.col("text_id").alias("question_id")).agg(F.array_join(F.collect_list("entity"), " ").alias("question"))
+
+
+def graph_search(questions: DataFrame, passages: DataFrame, entities: DataFrame, triples: DataFrame, k: int = C.CANDIDATE_K, hops: int = 2, first: int = 20) -> DataFrame:
+    """(question_id, chunk_id, score, rank): keyword search for what ``graph_questions`` gives; the
+    question's own words are not searched for."""
+    return bm25(graph_questions(questions, entities, triples, hops, first), passages, k)
+
+
 def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = C.FUSION_K) -> DataFrame:
     """(question_id, chunk_id, fused, retrievers): reciprocal rank fusion of ranked lists; a weight
     of zero or less drops its list."""

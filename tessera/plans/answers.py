@@ -16,9 +16,9 @@ INSIDE = ("cell ageing and state of health", "gas detection and alarm thresholds
 OUTSIDE = ("resale price of a battery module", "water supply of a city", "job offers for welders", "solvent handling in a kitchen")
 
 
-def _evidence(s, d):
+def _evidence(s, d, found=R.hybrid_evidence):
     p = R._passages(s, d)
-    ev = R.hybrid_evidence(s, d, p).join(p.select("chunk_id", "text"), "chunk_id")
+    ev = found(s, d, p).join(p.select("chunk_id", "text"), "chunk_id")
     return materialise(ev, "evidence")  # used several times by every check
 
 
@@ -177,8 +177,8 @@ QUERIES = {f.__name__: f for f in (
 
 
 def ask_batch(s, d):
-    """All questions asked at once; the answers are put together from the evidence."""
-    return asking.ask(R._questions(s, d), _evidence(s, d), R._sources(s, d), INSIDE, OUTSIDE)
+    """All questions asked at once over all four lists; the answers are put together from the evidence."""
+    return asking.ask(R._questions(s, d), _evidence(s, d, R.four_list_evidence), R._sources(s, d), INSIDE, OUTSIDE)
 
 
 def prompt_hashes(s, d):

@@ -15,10 +15,10 @@ def _areas():
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence of every question: keyword and structured search, fused and reranked."""
+    """Evidence of every question: keyword, semantic, structured and graph search, fused and reranked."""
     from tessera.plans import retrieval
 
-    return retrieval.hybrid_evidence(spark, folder)
+    return retrieval.four_list_evidence(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -90,6 +90,44 @@ def hybrid_evidence(s, d, p=None):
     return retrieval.rerank(retrieval.fuse(lists), p, src, F.lit(AS_OF).cast("date"))
 
 
+def _entities(s, d):
+    """Names of the ontology: both ends of its triples, as in the reference, where each is an entity."""
+    t = _triples(s, d)
+    return t.select(F.col("subject").alias("entity")).union(t.select("object")).distinct()
+
+
+def _model(s, d, p):
+    return lsa.fit(p, retrieval.vocabulary(p))
+
+
+def semantic_search(s, d, p=None):
+    p = p or _passages(s, d)
+    return lsa.search(_questions(s, d), p, _model(s, d, p))
+
+
+def graph_search(s, d, p=None):
+    return retrieval.graph_search(_questions(s, d), p or _passages(s, d), _entities(s, d), _triples(s, d))
+
+
+def _lists(s, d, p):
+    """The four ranked lists of every question. Keyword and graph search read the postings together."""
+    q = _questions(s, d)
+    asked = retrieval.graph_questions(q, _entities(s, d), _triples(s, d)).withColumn("list", F.lit("graph")).unionByName(q.withColumn("list", F.lit("keyword")))
+    both = retrieval.bm25(asked.select(F.concat_ws(":", "list", "question_id").alias("question_id"), "question"), p)
+    both = materialise(both.withColumn("list", F.substring_index("question_id", ":", 1)).withColumn("question_id", F.expr("substr(question_id, length(list) + 2)")), "lists")
+    only = lambda name: both.where(F.col("list") == name).drop("list")
+    return {"keyword": only("keyword"), "semantic": semantic_search(s, d, p), "structured": retrieval.structured(q, p, _sources(s, d)), "graph": only("graph")}
+
+
+def four_list_fuse(s, d):
+    return retrieval.fuse(_lists(s, d, _passages(s, d))).select("question_id", "chunk_id", F.round("fused", 9).alias("fused"), "retrievers")
+
+
+def four_list_evidence(s, d, p=None):
+    p = p or _passages(s, d)
+    return retrieval.rerank(retrieval.fuse(_lists(s, d, p)), p, _sources(s, d), F.lit(AS_OF).cast("date"))
+
+
 def recency_factor(s, d):
     return _sources(s, d).select("source_id", "published_at", F.round(T.recency("published_at", F.lit(AS_OF).cast("date")), 6).alias("recency"))
 
@@ -165,5 +203,5 @@ SQL = {
       select term, df, round(ln((1 + n) / (1 + df)) + 1, 6) idf from df, n where df >= 2 and df <= greatest(2, floor(0.6 * n)) order by df desc, term limit 30000""",
 }
 QUERIES = {f.__name__: f for f in (
-    bm25_postings, bm25_topk, semantic_topk, structured_intent, structured_search, graph_match, graph_expand, ontology_join, rrf_fuse, hybrid_evidence, recency_factor, tfidf_vocabulary, lsa_neighbours,
+    bm25_postings, bm25_topk, semantic_topk, structured_intent, structured_search, graph_match, graph_expand, ontology_join, rrf_fuse, hybrid_evidence, semantic_search, graph_search, four_list_fuse, four_list_evidence, recency_factor, tfidf_vocabulary, lsa_neighbours,
 )}
