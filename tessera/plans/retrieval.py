@@ -138,7 +138,7 @@ def tfidf_vocabulary(s, d):
 
 def lsa_neighbours(s, d):
     p = _passages(s, d)
-    v = lsa.encode(p, lsa.fit(p, retrieval.vocabulary(p), dimensions=32, sample=2000))
+    v = lsa.encode(p, _model(s, d, p))
     v = v.select(F.xxhash64("chunk_id").alias("vec_id"), F.col("vector").cast("array<double>").alias("embedding"))
     return retrieval.nearest(v, v.where("pmod(vec_id, 50) = 0"), k=3)
 

@@ -1,5 +1,7 @@
 """Semantic and graph search, and the fusion of all four lists, on a small knowledge area of our own."""
 
+import inspect
+
 import numpy as np
 import pytest
 
@@ -58,3 +60,17 @@ def test_all_four_lists_are_fused_and_asked(spark, folder):
     assert [r.retrievers for r in rows if r.chunk_id == "c2"] == ["graph"]
     assert {r.chunk_id for r in R.four_list_evidence(spark, folder).collect()} >= {"c0", "c1", "c2"}
     assert {r.question_id for r in answers.ask_batch(spark, folder).collect()} == {"q1", "q2"}
+
+
+def test_neighbours_use_the_documented_model(spark, folder, monkeypatch):
+    used, fit = [], lsa.fit
+
+    def spy(*args, **kw):
+        bound = inspect.signature(fit).bind(*args, **kw)
+        bound.apply_defaults()
+        used.append((bound.arguments["dimensions"], bound.arguments["sample"]))
+        return fit(*args, **kw)
+
+    monkeypatch.setattr(lsa, "fit", spy)
+    assert R.lsa_neighbours(spark, folder).columns == ["query_id", "vec_id", "score", "rank"]
+    assert used == [(192, 5000)]
