@@ -142,12 +142,25 @@ def _exchange(sizes: list[int], a: list[int], b: list[int], room: int) -> tuple[
     theirs = sorted((sizes[j], j) for j in b)
     keys = [x for x, _ in theirs]
     best, choice = 0, None
-    singles = [((i,), sizes[i]) for i in a]
-    pairs = [((i, k), sizes[i] + sizes[k]) for n, i in enumerate(a) for k in a[n + 1 :]] if len(a) <= 40 else []
-    for out, size in singles + pairs:
-        at = bisect_left(keys, size - room)  # the least that must come back
-        if at < len(keys) and 0 < size - keys[at] <= room and size - keys[at] > best:
-            best, choice = size - keys[at], (out, theirs[at][1])
+    for i in a:
+        at = bisect_left(keys, sizes[i] - room)  # the least that must come back
+        if at < len(keys) and 0 < sizes[i] - keys[at] <= room and sizes[i] - keys[at] > best:
+            best, choice = sizes[i] - keys[at], ((i,), theirs[at][1])
+    own = sorted(a, key=lambda i: sizes[i])
+    for n, (back, j) in enumerate(theirs):
+        if best == room:
+            break
+        if n and keys[n - 1] == back:
+            continue
+        low, high = 0, len(own) - 1  # the greatest pair that still fits, by pointers from both ends
+        while low < high:
+            gain = sizes[own[low]] + sizes[own[high]] - back
+            if gain > room:
+                high -= 1
+                continue
+            if gain > best:
+                best, choice = gain, ((own[low], own[high]), j)
+            low += 1
     return choice
 
 
@@ -190,7 +203,7 @@ def containers(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     documents: doc_id, text; other columns are not read. Only a document above ``capacity`` has
     several parts, all but its last one whole containers. Null and empty texts are parts of no
-    tokens in some container; every row is packed, equal rows each by themselves; an empty table
+    tokens in some container; every row with a doc_id is packed, equal rows each by themselves; an empty table
     gives no rows. Equal sizes are packed in the order of doc_id.
     """
     counts = materialise(token_counts(documents, s), "pack-tokens")

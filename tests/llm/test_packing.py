@@ -47,3 +47,18 @@ def test_operator_cases(spark):
     assert all(e - s == 2048 for _, s, e in parts[:-1]) and sizes[(2, 0)] == sizes[(3, 0)] == 0
     assert len(fill) <= math.ceil(sum(sizes.values()) / 2048) + 2
     assert K.containers(docs.limit(0)).count() == 0
+
+
+def test_exchange_finds_the_best_pair_in_bins_of_any_number():
+    from tessera.llm.packing import _exchange
+
+    r = random.Random(9)
+    for n in (3, 12, 60):
+        for _ in range(30):
+            sizes = [r.randint(5, 60) for _ in range(2 * n)]
+            a, b, room = list(range(n)), list(range(n, 2 * n)), r.randint(1, 20)
+            outs = [sizes[i] for i in a] + [sizes[i] + sizes[k] for x, i in enumerate(a) for k in a[x + 1 :]]
+            want = max((o - sizes[j] for o in outs for j in b if 0 < o - sizes[j] <= room), default=0)
+            got = _exchange(sizes, a, b, room)
+            assert (sum(sizes[i] for i in got[0]) - sizes[got[1]] if got else 0) == want
+    assert _exchange([10] * 41 + [18], list(range(41)), [41], 2) is not None  # two of 10 for one of 18
