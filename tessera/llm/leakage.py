@@ -1,19 +1,19 @@
 """Held-out items inside training documents (problem 7).
 
-Seed and extend. Every word n-gram of every item field is a seed; one scan with an Aho-Corasick
-automaton records which of them each document holds, so whether a copy is found does not depend
-on other copies. Each document is aligned with every field it shares an n-gram with:
-Smith-Waterman on words scores edited or paraphrased copies, and the longest run of common words
-is taken beside it. Alignments are skipped only where a bound shows that they cannot count.
-
-The items are the stated query set: they go to the tasks in blocks of bounded size, one scan
-of the documents per block.
+Seed and extend. A seed is four words: in a row, or two and two with one or two words between
+them. Items give all their seeds and a document all of its own, so a replaced, inserted, dropped
+or swapped word leaves seeds on both sides of it (two for two in a row, one gap for the other),
+and whether a copy is found does not depend on other copies. A pair of document and field is
+aligned if its seeds cover enough of the field for the alignment to count: Smith-Waterman on words
+scores edited or paraphrased copies, and the longest run of common words is taken beside it.
+
+The items are the stated query set: they are broadcast in blocks of bounded size, one scan of the
+documents per block.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +28,13 @@ _GAP = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``run`` consecutive words are an exact leak; seeds have ``gram`` words; an alignment
-    counts as an edited copy from ``min_share`` of the item's best score and ``min_score`` on;
-    ``block_chars`` bounds what one block of items brings to a task."""
+    """``run`` consecutive words are an exact leak; an alignment counts as an edited copy from
+    ``min_share`` of the item's best score and ``min_score`` on, and is made where seeds cover
+    ``min_cover`` of the field's words; ``block_chars`` bounds what one block of items brings to
+    a task."""
 
     run: int = RUN
-    gram: int = 4
+    min_cover: float = 0.3
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -47,10 +48,6 @@ def words(text: str | None) -> list[str]:
     return _GAP.sub(" ", (text or "").lower()).split()
 
 
-def _grams(w: list[str], n: int) -> list[str]:
-    return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
-
-
 def smith_waterman(a: np.ndarray, b: np.ndarray, s: Settings) -> int:
     """Best local alignment score of two sequences of word numbers (linear gap cost)."""
     if not len(a) or not len(b):
@@ -65,22 +62,21 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, s: Settings) -> int:
     return best
 
 
-def smith_waterman_many(many: list[np.ndarray], b: np.ndarray, s: Settings) -> list[int]:
-    """``smith_waterman`` of each of ``many`` (numbers from 0 on, -1 for words not in ``b``) with
-    ``b``, by anti-diagonals: a step takes one cell of every row of all of them, and no gap runs
-    along a step."""
-    long, n = max((len(a) for a in many), default=0), len(b)
+def smith_waterman_pairs(pairs: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> list[int]:
+    """``smith_waterman`` of each pair (numbers from 0 on; -1 in the second for words that match
+    nothing), all at once by anti-diagonals: a step takes one cell of every row of every pair."""
+    if not pairs:
+        return []
+    long, n = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
     if not long or not n:
-        return [0] * len(many)
-    if sum(map(len, many)) < n + long:  # fewer steps row by row
-        return [smith_waterman(a, b, s) for a in many]
+        return [0] * len(pairs)
     kind = np.int16 if s.match * long < 30_000 else np.int32
-    own = np.full((long, len(many)), -1, dtype=np.int32)
-    for k, a in enumerate(many):
+    own = np.full((long, len(pairs)), -2, dtype=np.int32)
+    back = np.full((n + 2 * long, len(pairs)), -1, dtype=np.int32)
+    for k, (a, b) in enumerate(pairs):
         own[: len(a), k] = a
-    edge = np.full(long, -2, dtype=np.int32)
-    back = np.concatenate([edge, b.astype(np.int32), edge])[::-1, None].copy()
-    before, last, row = (np.zeros((long + 1, len(many)), dtype=kind) for _ in range(3))
+        back[n + long - len(b) : n + long, k] = b[::-1]
+    before, last, row = (np.zeros((long + 1, len(pairs)), dtype=kind) for _ in range(3))
     best, cell, side, same = np.zeros(own.shape, kind), np.zeros(own.shape, kind), np.zeros(own.shape, kind), np.zeros(own.shape, bool)
     for d in range(n + long - 1):
         at = n + long - 1 - d
@@ -97,58 +93,155 @@ def smith_waterman_many(many: list[np.ndarray], b: np.ndarray, s: Settings) -> l
     return best.max(axis=0).tolist()
 
 
-def _most(own: np.ndarray, s: Settings) -> int:
-    """No alignment scores more: each of the item's words it spans gives ``match`` if the document
-    holds the word, else at best the smaller loss of a mismatch or a gap."""
-    total = np.concatenate([[0], np.cumsum(np.where(own >= 0, s.match, max(s.mismatch, s.gap)))])
-    return int((total - np.minimum.accumulate(total)).max())
-
-
-#: Cells of a step of ``smith_waterman_many``, which bound its memory.
+#: Cells of a step of ``smith_waterman_pairs``, which bound its memory; a step of few cells costs
+#: as much as one of many.
 _STEP = 1 << 16
 
 
-def _finder(items: list[tuple[int, list[tuple[str, list[str]]]]], s: Settings):
+def align(pairs: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> list[int]:
+    """Scores of many pairs, those of like size together."""
+    out = [0] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]) + len(pairs[k][1]), k))
+    while order:
+        part, size = [], 0
+        while order and (not part or max(size, len(pairs[order[-1]][0])) * (len(part) + 1) <= _STEP):
+            size = max(size, len(pairs[order[-1]][0]))
+            part.append(order.pop())
+        for k, score in zip(part, smith_waterman_pairs([pairs[k] for k in part], s)):
+            out[k] = score
+    return out
+
+
+#: Places of a seed's four words.
+_FORMS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 4, 5))
+#: Words of documents taken together.
+_TOGETHER = 200_000
+
+
+def _seeds(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, ...]]]:
+    """(places, keys, form): the seeds of a sequence of word numbers, none across a -1."""
+    for form in _FORMS:
+        n = len(ids) - form[-1]
+        if n <= 0:
+            continue
+        cols = [ids[f : f + n] for f in form]
+        at = np.flatnonzero(np.minimum.reduce(cols) >= 0)
+        key = np.zeros(len(at), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for c in cols:  # exact below 65,536 words, and checked by the words in any case
+                key = key * np.uint64(0x10001) + c[at].astype(np.uint64)
+                key ^= key >> np.uint64(33)
+                key *= np.uint64(0xFF51AFD7ED558CCD)
+        yield at, key, form
+
+
+class Block:
+    """A block of items' fields, made ready to look up seeds in."""
+
+    def __init__(self, items: list[tuple[int, list[tuple[str, list[str]]]]]) -> None:
+        self.fields = [(item, name) for item, fs in items for name, _ in fs]
+        self.number: dict[str, int] = {}
+        self.words = [np.array([self.number.setdefault(x, len(self.number)) for x in w], dtype=np.int64) for _, fs in items for _, w in fs]
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+        keys, field, place, form = [], [], [], []
+        for k, w in enumerate(self.words):
+            for at, key, f in _seeds(w):
+                keys.append(key)
+                field.append(np.full(len(at), k))
+                place.append(at)
+                form.append(np.full(len(at), _FORMS.index(f)))
+        join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        key = join(keys, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.field, self.place, self.form = key[order], join(field, np.int64)[order], join(place, np.int64)[order], join(form, np.int64)[order]
+        self.flat = join(self.words, np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1] if self.words else np.zeros(0, np.int64)
+
+    def hits(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per form of the document's seeds: (place, its form, field, place and form in the field)."""
+        out = []
+        for n, (at, key, form) in enumerate(_seeds(ids)):
+            low = np.searchsorted(self.keys, key, "left")
+            many = np.searchsorted(self.keys, key, "right") - low
+            found = many > 0
+            at, low, many = at[found], low[found], many[found]
+            if not len(at):
+                continue
+            first = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+            j, at = first + np.arange(many.sum()), np.repeat(at, many)
+            field, place, own = self.field[j], self.place[j], self.form[j]
+            base, forms = self.start[field] + place, np.array(_FORMS)
+            true = np.logical_and.reduce([ids[at + form[x]] == self.flat[base + forms[own, x]] for x in range(4)])
+            out.append((at[true], np.full(true.sum(), _FORMS.index(form)), field[true], place[true], own[true]))
+        return out
+
+
+def _related(block: Block, docs: list[np.ndarray], s: Settings) -> list[tuple[int, int, int, int, int]]:
+    """(document, field, longest run, first and last word hit) of the pairs worth an alignment."""
+    ends = np.cumsum([len(d) + 1 for d in docs])
+    ids = np.concatenate([x for d in docs for x in (d, np.array([-1]))])
+    hits = block.hits(ids)
+    if not hits:
+        return []
+    at, form, field, place, own = (np.concatenate(x) for x in zip(*hits))
+    doc = np.searchsorted(ends, at, "right")
+    pair = doc * len(block.fields) + field
+    most = int(block.length.max()) + 8
+    # the field's words that seeds cover
+    forms = np.array(_FORMS)
+    covered = np.unique((pair[:, None] * most + place[:, None] + forms[own]).ravel())
+    known, cover = np.unique(covered // most, return_counts=True)
+    # runs: seeds of four in a row on both sides, one after another
+    plain = (form == 0) & (own == 0)
+    longest = np.zeros(len(known), dtype=np.int64)
+    if plain.any():
+        p, a, i = pair[plain], at[plain], place[plain]
+        shift = a - i + most
+        order = np.lexsort((a, shift, p))
+        p, a, shift = p[order], a[order], shift[order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] != a[:-1] + 1)])
+        starts = np.flatnonzero(new)
+        length = np.diff(np.concatenate([starts, [len(p)]])) + 3
+        np.maximum.at(longest, np.searchsorted(known, p[starts]), length)
+    k = known % len(block.fields)
+    wanted = (longest >= s.run) | (cover >= s.min_cover * block.length[k])
+    order = np.argsort(pair, kind="stable")
+    low = np.minimum.reduceat(at[order], np.searchsorted(pair[order], known))
+    high = np.maximum.reduceat(at[order], np.searchsorted(pair[order], known))
+    start = ends - np.array([len(d) + 1 for d in docs])
+    d = known // len(block.fields)
+    return [(int(d[x]), int(k[x]), int(longest[x]), int(low[x] - start[d[x]]), int(high[x] - start[d[x]])) for x in np.flatnonzero(wanted)]
+
+
+def _leaks_of(block: Block, docs: list[tuple[int, np.ndarray]], s: Settings) -> list[tuple]:
+    out, pairs, known = [], [], []
+    for d, k, longest, low, high in _related(block, [w for _, w in docs], s):
+        n = int(block.length[k])
+        reach = (s.match + 1) * n  # no alignment that counts spans more beside its seeds
+        known.append((docs[d][0], k, longest, n))
+        pairs.append((block.words[k], docs[d][1][max(0, low - reach) : high + reach]))
+    for (doc, k, longest, n), score in zip(known, align(pairs, s)):
+        best = s.match * n
+        if longest >= s.run or (score >= s.min_score and score >= s.min_share * best):
+            out.append((doc, *block.fields[k], longest, score, score / max(1, best)))
+    return out
+
+
+def _finder(shared, s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        fields = [(item, name, w) for item, fs in items for name, w in fs]
-        places = defaultdict(list)  # n-gram -> fields that hold it, and where
-        for k, (_, _, w) in enumerate(fields):
-            for i, g in enumerate(_grams(w, s.gram)):
-                places[g].append((k, i))
-        auto = ahocorasick.Automaton()
-        for g in places:
-            auto.add_word(f" {g} ", g)
-        auto.make_automaton()
+        block = Block(shared.value)
+        get = block.number.get
         for pdf in batches:
-            out = []
+            out, held, size = [], [], 0
             for doc, text in zip(pdf["__doc"], pdf["__text"]):
-                flat = f" {_GAP.sub(' ', text.lower())} "
-                if not places or next(auto.iter(flat), None) is None:
-                    continue
-                w = words(text)
-                longest: dict[int, int] = {}
-                run_at: dict[tuple[int, int], int] = {}
-                for g in _grams(w, s.gram):
-                    run_at = {(k, i): run_at.get((k, i - 1), s.gram - 1) + 1 for k, i in places.get(g, ())}
-                    for (k, _), n in run_at.items():
-                        if n > longest.get(k, 0):
-                            longest[k] = n
-                number: dict[str, int] = {}
-                ids = np.array([number.setdefault(x, len(number)) for x in w], dtype=np.int64)
-                wanted = []
-                for k in sorted(longest, key=lambda k: len(fields[k][2])):
-                    own = np.array([number.get(x, -1) for x in fields[k][2]], dtype=np.int64)
-                    if longest[k] >= s.run or _most(own, s) >= max(s.min_score, s.min_share * s.match * len(own)):
-                        wanted.append((k, own))
-                while wanted:
-                    take = max(1, _STEP // len(wanted[-1][1]))  # longest first
-                    part, wanted = wanted[-take:], wanted[:-take]
-                    for (k, own), score in zip(part, smith_waterman_many([o for _, o in part], ids, s)):
-                        best = s.match * len(own)
-                        if longest[k] >= s.run or (score >= s.min_score and score >= s.min_share * best):
-                            out.append((doc, fields[k][0], fields[k][1], longest[k], score, score / max(1, best)))
+                ids = np.array([get(w, -1) for w in words(text)], dtype=np.int64)
+                held.append((doc, ids))
+                size += len(ids)
+                if size >= _TOGETHER:
+                    out += _leaks_of(block, held, s)
+                    held, size = [], 0
+            if held:
+                out += _leaks_of(block, held, s)
             frame = pd.DataFrame(out, columns=["doc_id", "item_id", "field", "longest_run", "score", "share"])
             yield frame.astype({"doc_id": "int64", "item_id": "int64", "longest_run": "int32", "score": "int32", "share": "float64"})
 
@@ -175,16 +268,16 @@ def leaks(documents: DataFrame, items: DataFrame, s: Settings = Settings()) -> D
     """(doc_id, item_id, field, longest_run, score, share): documents that hold wording of an item.
 
     documents: doc_id, text; items: item_id, question, expected; other columns are not read.
-    ``longest_run`` is the number of consecutive words shared (at least ``gram``), ``score`` the
+    ``longest_run`` is the number of consecutive words shared (0 below four), ``score`` the
     Smith-Waterman score, ``share`` that of the field's best possible. A row is given for a run of
-    ``run`` words or an alignment from ``min_score`` and ``min_share`` on; either way document and
-    field share ``gram`` words in a row somewhere, without which nothing is aligned. Null and empty texts
-    and fields, and null ids, give nothing; repeated rows give their result once.
+    ``run`` words or an alignment from ``min_score`` and ``min_share`` on. Fields of fewer than four
+    words have no seed and give nothing, as do null and empty texts and fields, and null ids;
+    repeated rows give their result once.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").alias("__text")).where("__doc is not null and __text is not null")
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "question", "expected").where("item_id is not null")
-    parts = [docs.mapInPandas(_finder(block, s), LEAKS) for block in _blocks(wanted, s.block_chars)]
+    parts = [docs.mapInPandas(_finder(spark.sparkContext.broadcast(block), s), LEAKS) for block in _blocks(wanted, s.block_chars)]
     if not parts:
         return spark.createDataFrame([], LEAKS)
     out = parts[0]

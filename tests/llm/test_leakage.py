@@ -102,8 +102,58 @@ def test_edited_copies_do_not_depend_on_other_copies(spark):
 def test_many_alignments_at_once_score_as_one_by_one():
     r, s = np.random.default_rng(5), L.Settings()
     for _ in range(20):
-        b = r.integers(0, 6, r.integers(1, 40))
-        many = [r.integers(-1, 6, r.integers(0, 25)) for _ in range(12)]
-        want = [L.smith_waterman(a, b, s) for a in many]
-        assert L.smith_waterman_many(many, b, s) == want
-        assert all(L._most(np.where(np.isin(a, b), a, -1), s) >= x for a, x in zip(many, want))
+        pairs = [(r.integers(0, 6, r.integers(0, 25)), r.integers(-1, 6, r.integers(0, 40))) for _ in range(12)]
+        want = [L.smith_waterman(a, b, s) for a, b in pairs]
+        assert L.smith_waterman_pairs(pairs, s) == want and L.align(pairs, s) == want
+    assert L.align([], s) == []
+
+
+def edit(words, kind, every, r):
+    """A copy of ``words`` changed at every ``every``-th word."""
+    out, i = [], 0
+    while i < len(words):
+        hit = i % every == every - 1
+        if hit and kind == "replace":
+            out.append(f"new{r.randrange(1000)}")
+        elif hit and kind == "insert":
+            out += [words[i], f"new{r.randrange(1000)}"]
+        elif hit and kind == "swap" and i + 1 < len(words):
+            out += [words[i + 1], words[i]]
+            i += 1
+        elif not (hit and kind == "drop"):
+            out.append(words[i])
+        i += 1
+    return out
+
+
+def test_recall_of_edited_copies(spark):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(900)]
+    items = [(i, None, " ".join(r.choices(vocab, k=r.randint(24, 70)))) for i in range(60)]
+    docs, true = [], {}
+    for kind in ("replace", "insert", "swap", "drop"):
+        for every in (3, 4, 5, 6, 8) if kind != "swap" else (5, 6, 8):
+            for i, _, text in items:
+                d = len(docs)
+                true[d] = (kind, every, i)
+                docs.append((d, " ".join(r.choices(vocab, k=60) + edit(text.split(), kind, every, r) + r.choices(vocab, k=60))))
+    found = {(x.doc_id, x.item_id) for x in run(spark, docs, items)}
+    recall = {}
+    for d, (kind, every, i) in true.items():
+        recall.setdefault((kind, every), []).append((d, i) in found)
+    assert all(sum(v) >= 0.9 * len(v) for v in recall.values()), {k: sum(v) / len(v) for k, v in recall.items()}
+    assert len(found - {(d, i) for d, (_, _, i) in true.items()}) <= 0.02 * len(found)
+
+
+def test_scores_match_brute_force_where_seeds_cover(spark):
+    r, s = random.Random(6), L.Settings(min_score=10, min_share=0.2, min_cover=0.0)
+    vocab = [f"w{i}" for i in range(12)]
+    items = [(i, None, " ".join(r.choices(vocab, k=20))) for i in range(6)]
+    docs = [(d, " ".join(r.choices(vocab, k=50))) for d in range(30)]
+    number = {w: k for k, w in enumerate(vocab)}
+    code = lambda t: np.array([number[w] for w in t.split()])
+    want = {(d, i): L.smith_waterman(code(b), code(t), s) for d, t in docs for i, _, b in items}
+    got = {(x.doc_id, x.item_id): x.score for x in run(spark, docs, items, s)}
+    assert got and all(want[k] == v for k, v in got.items())
+    seeded = {(d, i) for d, t in docs for i, _, b in items if any(b.split()[k : k + 4] == t.split()[j : j + 4] for k in range(17) for j in range(47))}
+    assert all(k in got for k in seeded if want[k] >= 10)
