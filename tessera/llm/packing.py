@@ -27,14 +27,12 @@ from tessera.session import materialise
 class Settings:
     """``capacity`` tokens; ``group`` documents are packed in one task; ``vocabulary`` is the path
     of a byte-level BPE ranks file that every executor can read (None: that of the installed
-    public tokenizers) and ``pattern`` its splitting pattern; ``passes`` of local search over the bins below ``underfull``; bins below ``full``
-    are packed a second time."""
+    public tokenizers) and ``pattern`` its splitting pattern; bins below ``full`` are packed a second
+    time."""
 
     capacity: int = 2048
     group: int = 20_000
     full: float = 0.98
-    underfull: float = 0.995
-    passes: int = 4
     vocabulary: str | None = None
     pattern: str | None = None
 
@@ -53,14 +51,16 @@ def _encoder(s: Settings):
 
 
 def token_counts(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, tokens): tokens of each row's text; 0 for null and empty ones."""
+    """(doc_id, row, tokens): tokens of each row's text, 0 for null and empty ones, and a number of
+    the row, which tells equal rows apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(s).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["__doc"], "tokens": [len(encode(t)) if t else 0 for t in pdf["__text"]]})
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").alias("__text")).where("__doc is not null").mapInPandas(run, "doc_id bigint, tokens int")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").alias("__text")).where("__doc is not null")
+    return rows.mapInPandas(run, "doc_id bigint, tokens int").select("doc_id", F.monotonically_increasing_id().alias("row"), "tokens")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -87,12 +87,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, passes: int = 4, full: float = 1.0) -> list[list[int]]:
-    """Bins improved by moves and exchanges. Each step takes documents out of the emptier of two
-    underfull bins into the fuller one, so the sum of squared fills rises and the search ends."""
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Bins improved by moves and exchanges until none is left. Each step takes documents out of
+    the emptier of two underfull bins into the fuller one, so the sum of squared fills rises and
+    the search ends; it also ends once the bins are as few as the sizes allow."""
     fill = [sum(sizes[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity * full), key=lambda b: fill[b])
-    for _ in range(passes):
+    least = -(-sum(fill) // capacity)
+    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
+    left, changed = len(bins), True
+    while changed and left > least:
         changed = False
         for a in list(open_):
             if not bins[a]:
@@ -131,9 +134,8 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, passes:
                     fill[a] -= gain
                     fill[b] += gain
                     changed = True
-        open_ = [b for b in sorted(open_, key=lambda b: fill[b]) if bins[b]]
-        if not changed:
-            break
+        left -= sum(not bins[b] for b in open_)
+        open_ = [b for b in sorted(open_, key=lambda b: fill[b]) if bins[b] and fill[b] < capacity]
     return [b for b in bins if b]
 
 
@@ -167,7 +169,7 @@ def _exchange(sizes: list[int], a: list[int], b: list[int], room: int) -> tuple[
 def pack(sizes: list[int], s: Settings = Settings()) -> list[int]:
     """Bin number of each item; items of size 0 go with the first bin."""
     some = [i for i, x in enumerate(sizes) if x > 0]
-    bins = local_search([sizes[i] for i in some], best_fit([sizes[i] for i in some], s.capacity), s.capacity, s.passes, s.underfull)
+    bins = local_search([sizes[i] for i in some], best_fit([sizes[i] for i in some], s.capacity), s.capacity)
     out = [0] * len(sizes)
     for b, items in enumerate(bins):
         for i in items:
@@ -177,7 +179,7 @@ def pack(sizes: list[int], s: Settings = Settings()) -> list[int]:
 
 def _packer(s: Settings, stage: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "part_no", "token_start"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "part_no", "row"], kind="stable").reset_index(drop=True)
         sizes = (pdf["token_end"] - pdf["token_start"]).tolist()
         bins = pack(sizes, s)
         fill: dict[int, int] = {}
@@ -189,13 +191,14 @@ def _packer(s: Settings, stage: int):
     return run
 
 
-_ITEMS = "doc_id bigint, part_no int, token_start int, token_end int, group bigint"
+_ITEMS = "doc_id bigint, row bigint, part_no int, token_start int, token_end int, group bigint"
 
 
 def _grouped(items: DataFrame, s: Settings, stage: int) -> DataFrame:
     groups = max(1, -(-items.count() // s.group))
-    keyed = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "part_no", F.lit(stage)), F.lit(groups)))
-    return keyed.groupBy("group").applyInPandas(_packer(s, stage), f"{_ITEMS}, container_id string, fill int").drop("group")
+    keyed = items.withColumn("group", F.pmod(F.xxhash64("row", F.lit(stage)), F.lit(groups)))
+    # a stated number of partitions: groups are few bytes and much work, and must not be put together
+    return keyed.repartition(groups, "group").groupBy("group").applyInPandas(_packer(s, stage), f"{_ITEMS}, container_id string, fill int").drop("group")
 
 
 def containers(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -204,17 +207,19 @@ def containers(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     documents: doc_id, text; other columns are not read. Only a document above ``capacity`` has
     several parts, all but its last one whole containers. Null and empty texts are parts of no
     tokens in some container; every row with a doc_id is packed, equal rows each by themselves; an empty table
-    gives no rows. Equal sizes are packed in the order of doc_id.
+    gives no rows. Rows without doc_id are left out, as nothing could name them in the result. Equal
+    sizes are packed in the order of doc_id. Token counts are written once, so that a task that is
+    run again gives the same containers.
     """
     counts = materialise(token_counts(documents, s), "pack-tokens")
     cap = s.capacity
     whole = F.floor((F.greatest("tokens", F.lit(1)) - 1) / cap).cast("int")
-    parts = counts.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("part_no")).select(
-        "doc_id", "part_no", (F.col("part_no") * cap).alias("token_start"), F.least("tokens", (F.col("part_no") + 1) * cap).cast("int").alias("token_end")
+    parts = counts.select("doc_id", "row", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("part_no")).select(
+        "doc_id", "row", "part_no", (F.col("part_no") * cap).alias("token_start"), F.least("tokens", (F.col("part_no") + 1) * cap).cast("int").alias("token_end")
     )
     full = (F.col("token_end") - F.col("token_start")) == cap
-    own = parts.where(full).withColumn("container_id", F.concat_ws("-", F.lit("own"), F.uuid()))
+    own = parts.where(full).withColumn("container_id", F.concat_ws("-", F.lit("own"), "row", "part_no"))
     first = materialise(_grouped(parts.where(~full), s, 1), "pack-first")
     done = first.where(F.col("fill") >= cap * s.full).drop("fill")
     again = _grouped(first.where(F.col("fill") < cap * s.full).drop("fill", "container_id"), s, 2).drop("fill")
-    return own.unionByName(done).unionByName(again)
+    return own.unionByName(done).unionByName(again).drop("row")

@@ -47,6 +47,32 @@ def test_operator_cases(spark):
     assert all(e - s == 2048 for _, s, e in parts[:-1]) and sizes[(2, 0)] == sizes[(3, 0)] == 0
     assert len(fill) <= math.ceil(sum(sizes.values()) / 2048) + 2
     assert K.containers(docs.limit(0)).count() == 0
+    again = K.containers(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_fill_is_near_the_bound(spark):
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, "word " * min(9000, int(r.lognormvariate(5.5, 1.0)))) for i in range(3000)], "doc_id bigint, text string")
+    for group in (20_000, 400):  # one group, and several that are packed again across groups
+        got = K.containers(docs, K.Settings(group=group)).collect()
+        bound = math.ceil(sum(x.token_end - x.token_start for x in got) / 2048)
+        assert bound <= len({x.container_id for x in got}) <= bound * 1.01 + 1
+
+
+def test_equal_rows_are_containers_of_their_own(spark):
+    docs = spark.createDataFrame([(1, ("word " * 3000).strip())] * 3, "doc_id bigint, text string")
+    fill = {}
+    for r in K.containers(docs).collect():
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.token_end - r.token_start
+    assert max(fill.values()) <= 2048 and sum(fill.values()) == 3 * 3000
+
+
+def test_search_runs_until_nothing_changes():
+    r = random.Random(2)
+    sizes = [r.randint(200, 900) for _ in range(300)]
+    once = K.local_search(sizes, K.best_fit(sizes, 2048), 2048)
+    assert K.local_search(sizes, [list(b) for b in once], 2048) == [b for b in once]
 
 
 def test_exchange_finds_the_best_pair_in_bins_of_any_number():
