@@ -21,7 +21,7 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pieces = splitting.split_sections(table(spark, folder, "chunks"), table(spark, folder, "documents"), oversized_only=True)
-    return pieces.where(F.col("piece_no") == 1).select("chunk_id").distinct()
+    return pieces.where(F.col("section_chars") > splitting.Sizes().most).select("chunk_id").distinct()
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
