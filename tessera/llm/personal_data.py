@@ -1,8 +1,8 @@
 """Personal information inside free text (problem 3).
 
-Triggers (an automaton of given names, titles, cues and street words, and one pass for digit
-groups) point at the few places of a text that can hold personal data. There every candidate
-span is proposed, several where the boundaries are open, with features of the whole span and of
+Triggers (an automaton of given names, titles, cues and street words, and one pass each for digit
+groups and for runs of capitalised words) point at the few places of a text that can hold personal
+data. There every candidate span is proposed, several where the boundaries are open, with features of the whole span and of
 what stands beside it; a semi-Markov conditional random field chooses boundaries and types
 jointly. The field is fitted when the operator starts, on texts filled in from the patterns
 below; their number is a parameter and its only bound. Per text, without shuffle.
@@ -14,12 +14,14 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import semi_crf
+from tessera.llm.keyword_spam import FUNCTION_WORDS, GLUE
 from tessera.llm.semi_crf import Segment
 
 
@@ -27,7 +29,7 @@ from tessera.llm.semi_crf import Segment
 class Settings:
     """Number of made-up texts the field is fitted on, and their seed."""
 
-    texts: int = 2500
+    texts: int = 5000
     seed: int = 11
 
 
@@ -52,7 +54,7 @@ TITLES = frozenset(
 NOT_PEOPLE = frozenset(
     """street road lane close avenue ave rd st yard works depot mill park store plant terminal quay vale row bay hall harbour north south east west upper lower
     institute board review desk bulletin laboratory lab group agency office department university college company ltd inc gmbh bureau instituto boletín revue
-    instruments instrument systems services council committee commission panel team brigade foundation society association press library centre center
+    instruments instrument systems services council committee commission panel team brigade foundation society association press library centre center redaktion rédaction redacción thanks thank regards hello dear danke merci gracias
     method test rig bench protocol rule clause valve sensor pump scale model report standard energy safety battery process fire insurance standards research
     january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
     the and of in on at by for from with to a an this that these is was were are not but or as it when because home contact about news training events
@@ -107,6 +109,30 @@ _REVERSED_INITIAL = re.compile(rf"(?<![\w.'’°-]){_CAP},{_S}[A-Z]\.(?!\w)(?!\s
 _INITIAL_LETTER = re.compile(r"(?<!\w)[A-Z]\.")
 _SURNAME_BEFORE = re.compile(rf"(?<![\w.'’°-]){_CAP},{_S}$")
 _PAIR = re.compile(rf"{_CAP}(?:{_S}[A-Z]\.)?{_S}{_CAP}|{_CAP},{_S}{_CAP}(?:{_S}[A-Z]\.)?")
+# Runs of two or three capitalised words in a line, which are names where their surroundings say so.
+_TITLED = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[^\W\d_A-Z]+(?:[A-Z][^\W\d_A-Z]+)?(?:-[A-ZÀ-ÖØ-Þ][^\W\d_A-Z]+)?"
+_CAPITALS = re.compile(rf"(?<![\w.'’#@&/-]){_TITLED}(?:[ \xa0](?:[A-Z]\. )?(?:(?:van|von|de|der|den|del|la|di|du|ter|bin|al) ){{0,2}}{_TITLED})+(?!\w|-\w)")
+_LOWER = re.compile(r"(?<![\w-])[^\W\d_A-ZÀ-Þ][^\W\d_A-Z]+")
+_ENGLISH = re.compile(r"\b(?:the|of|and|was|were|that|is|in|to|by|with|for|on)\b")
+_GERMAN = re.compile(r"\b(?:der|die|das|und|ist|nicht|mit|von|den|dem|ein|eine|für|auf|wurde|bei|zu|im|sich)\b")
+# Verbs of what people do, of which one beside a name speaks for a person.
+PERSON_VERBS = frozenset(
+    """said says told tells wrote writes signed saw met spoke called asked explained reported noticed argued recalled added replied thought believed knew heard felt
+    brought carried opened closed left arrived returned walked ran drove lives lived works worked took gave found phoned emailed apologised complained claimed denied
+    agreed insisted warned noted who whose was is had has did sagte schrieb sah traf erklärte berichtete meinte bemerkte unterschrieb verließ rief fragte hat hatte
+    a dit écrit vu signé expliqué déclaré affirme avait quitté appelé dijo escribió vio firmó explicó declaró salió llamó había""".split()
+)
+# Words that open a sentence before a name.
+OPENERS = frozenset(
+    """yesterday today tonight later meanwhile perhaps maybe afterwards soon earlier recently eventually finally sadly luckily sometimes often once twice again still now here
+    yet however therefore indeed instead otherwise besides first second next last gestern heute später dann danach inzwischen vielleicht schließlich zuerst hier jetzt hier demain
+    aujourd'hui ensuite puis enfin peut-être ici ayer hoy luego entonces finalmente quizá aquí ahora tampoco también""".split()
+)
+# Words after which a person is named, and words after which a place is.
+PERSON_BEFORE = frozenset("by with met told asked thanked called thank ask contact colleague supervisor foreman driver manager engineer technician operator owner tenant neighbour inspector durch kollege leiter par collègue por colega and".split())
+PLACE_BEFORE = frozenset("at in near into towards outside around between bei aus in nach à en dans vers desde hasta".split())
+_PLACE_END = re.compile(r"(?:wick|ford|ton|ham|bury|ville|field|mere|stadt|burg|dorf|haven|port|worth|mouth|dale|shire|stelle|blatt|institut|werk|verband)$")
+
 _TRIM = ".,;:!?()[]\"“”«»*=—–-"
 
 
@@ -176,6 +202,7 @@ class Finder:
                 self._identity(text, flat, end, value, out)
             else:
                 self._address(text, end, value, tried, out)
+        self._runs(text, low, out)
         return list(out.values())
 
     def _add(self, out: dict, a: int, b: int, kind: str, features: list[str]) -> None:
@@ -293,7 +320,60 @@ class Finder:
         if m and g[0].isupper() and _same_case(g, m[1]):
             self._name(text, m.start(), b, "surname given", out)
 
-    def _name(self, text: str, a: int, b: int, how: str, out: dict) -> None:
+    def _runs(self, text: str, low: str, out: dict) -> None:
+        """Capitalised runs inside sentences that nothing else has proposed."""
+        taken = [(s.start, s.end) for s in out.values() if s.kind in ("name", "address")]
+        whole: frozenset[str] | None = None
+        for m in _CAPITALS.finditer(text):
+            a, b = m.span()
+            if text[b - 2 : b] in ("'s", "’s"):
+                b -= 2
+            opened, start = "", a == 0 or text[a - 1] == "\n" or text[a - 2 : a - 1] in (".", "!", "?", ":", "-", "*", "•")
+            while start and (first := low[a:b].split(None, 1)) and len(first) > 1 and (first[0] in _COMMON or first[0] in OPENERS):
+                # the word that opens the sentence
+                a, start, opened = b - len(first[1]), False, "adverb" if first[0] in OPENERS else "article" if first[0] in GLUE else "other"
+            words = [w for w in low[a:b].split() if w not in _PARTICLES and w[1:] != "."]
+            if not 2 <= len(words) <= 3 or not _COMMON.isdisjoint(words) or any(x <= a and b <= y for x, y in taken):
+                continue
+            begin, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+            line = text[begin : end if end >= 0 else len(text)]
+            if line.lstrip()[:1] == "#" or len(_LOWER.findall(line)) < 2:
+                continue
+            if whole is None:
+                whole = frozenset(_LOWER.findall(text))
+            follows = low[b : b + 24].split(None, 1)
+            nxt = follows[0].strip(_TRIM) if follows else ""
+            before = low[max(0, a - 24) : a].split()
+            prev = before[-1] if before else ""
+            article = prev in ("the", "a", "an", "this", "das", "der", "die", "dem", "den", "le", "la", "el", "los")
+            if nxt not in PERSON_VERBS and (start or article or len(_ENGLISH.findall(line)) < 2) and not _OF.isdisjoint(text[a:b].split()):
+                continue  # a thing of a place
+            fs = ["plain start" if start else "plain middle"]
+            if nxt in PERSON_VERBS:
+                fs.append("plain verb after" if text[b : b + 1] == " " else "plain verb after mark")
+            if not start and prev in PERSON_BEFORE:
+                fs.append("plain person before")
+            if not start and prev in PLACE_BEFORE:
+                fs.append("plain place before")
+            if _PLACE_END.search(words[-1]):
+                fs.append("plain place end")
+            if len(_GERMAN.findall(line)) >= 2:
+                fs.append("plain german")
+            if not whole.isdisjoint(words):
+                fs.append("plain lower elsewhere")
+            if nxt in NOT_PEOPLE_AFTER:
+                fs.append("plain thing after")
+            if text[b : b + 1] == "…" or text[b : b + 3] == "...":
+                fs.append("plain cut")
+            if opened:
+                fs.append(f"plain opened {opened}")
+            if article:
+                fs.append("plain article before")
+            self._name(text, a, b, "plain", out, tuple(fs))
+            if start and len(words) == 3:  # the first word may be capital for opening the sentence
+                self._name(text, a + len(text[a:b].split()[0]) + 1, b, "plain", out, (*fs, "plain without first"))
+
+    def _name(self, text: str, a: int, b: int, how: str, out: dict, more: tuple[str, ...] = ()) -> None:
         if (a, b, "name") in out:
             old = out[a, b, "name"]
             if f"name how {how}" not in old.features:
@@ -308,7 +388,7 @@ class Finder:
         plain = before.strip(_TRIM)
         case = "upper" if part.isupper() else "lower" if part.islower() else "title"
         fs = [
-            "name", f"name how {how}", f"name case {case}", f"name before {before}", f"name before {before2} {before}", f"name after {after}",
+            "name", f"name how {how}", *more, f"name case {case}", f"name before {before}", f"name before {before2} {before}", f"name after {after}",
             f"name tokens {len(tokens)}", "name in lines" if "\n" in part else "name one line",
         ]
         if before.isdigit():
@@ -332,7 +412,7 @@ class Finder:
         if case != "lower" and plain and before[-1:].isalnum() and text[max(0, a - 1)] in " \n" and before != plain.lower():
             fs.append("name odd before")
         prev = text[max(0, a - 24) : a].split()
-        if prev and prev[-1][:1].isupper() and prev[-1][-1:].isalnum() and plain not in TITLES and len(prev[-1]) > 1:
+        if not any(x.startswith("plain opened") for x in more) and prev and prev[-1][:1].isupper() and prev[-1][-1:].isalnum() and plain not in TITLES and len(prev[-1]) > 1:
             fs.append("name previous capital")
         if case == "upper":
             near = re.sub(r"[^A-Za-z]", "", text[max(0, a - 14) : a] + text[b : b + 14])
@@ -342,6 +422,13 @@ class Finder:
         self._add(out, a, b, "name", fs)
 
 
+_OF = frozenset("von de del du di".split())
+_PARTICLES = frozenset("van von de der den del la di du ter bin al".split())
+#: What no word of a name is: function words and the words of NOT_PEOPLE.
+_COMMON = (FUNCTION_WORDS | NOT_PEOPLE) - _PARTICLES
+#: Things that bear a name.
+NOT_PEOPLE_AFTER = frozenset("rig method test bench protocol rule clause valve sensor pump scale model report standard instruments paste clamps liners collars foam panel line cell works plant yard depot".split())
+
 _BLANKS = "\n\r\t\x0b\x0c\xa0\u2002\u2003\u2009\u202f"
 
 
@@ -357,7 +444,7 @@ Ms {n} signed the form.|Mr {n} signed it.|Witness {n} left the hall at once.|Pro
 Questions go to {n}, {e}, until the end of the week.|Contact: {n}, phone {p}.|Contacto: {n}, teléfono {p}.|Contact : {n}, téléphone {p}.|Rückfragen an {n}, Telefon {p}.
 The fitter, {n}, can be reached on {p}.|The night guard, {n}, saw it.|{n} told the panel that the door was open.|{n}, a driver from {t}, moved the pallet.
 The alarm was reset by {n} and again by {n}.|(signed) {n}|Statement of {n}: the door was warm.|Reported by: {n}; home address {a}; tel. {p}|Reported by: {n}; home address {a}; mobile {p}
-Permit holder: {n} ({i})|Permit holder: {n}|thanks, {n} / {p}|cc {e}; {e}|Email: {e}|Email: {e} should quote the later edition|Tel {p}|Tel {p} The figure is wrong.
+Permit holder: {n} ({i})|Permit holder: {n}|thanks, {n} / {p}|thanks, {n} / {p} {n} told us.|cc {e}; {e}|Email: {e}|Email: {e} should quote the later edition|Tel {p}|Tel {p} The figure is wrong.
 My neighbour {n} saw smoke; their number is {p}.|Frau {n} unterschrieb die Freigabe.|Zeuge {n} verließ die Halle.|Mme {n} a signé le permis.|Le témoin {n} a quitté le hall.
 La señora {n} firmó el permiso.|El testigo {n} salió de la nave.|Herr {n} prüfte die Pumpe.|M. {n} a vu la fumée.
 Bitte an {e} schreiben.|Merci d'écrire à {e} au plus vite.|Escriban a {e} cuanto antes.|Send the figures to {e} please.|Call {p} or write to {e} for the log.|write to {e} please
@@ -366,6 +453,22 @@ The owner lives at {a}, and the unit was charging.|Delivery went to {a} by mista
 Der Besitzer wohnt in {a}.|Le propriétaire habite au {a}.|El dueño vive en {a}.|Address: {a}|Letters go to {a}.
 {w} {n}|{w}. {n}, {p}|{n}\\n{a}\\n{p}|Best regards, {n}
 """.strip().replace("\n", "|").split("|")
+# The same for names that no list holds ({q}), with nothing beside them that announces a name.
+PLAIN = """
+{q} said that the alarm came late.|{q} wrote to the office twice.|We met {q} at the gate.|The key was handed over by {q} on Monday.|{q} was the first to see the smoke.|The call was taken by {q}, who closed the line.
+After lunch {q} opened the hatch again.|Please thank {q} for the photographs.|{q} had worked in the hall for years.|I asked {q} whether the door was locked.|The log names {q} as the last user.|{q} lives above the shop.
+It was {q} who rang the bell.|The driver, {q}, left before noon.|Nobody but {q} knew the code.|{q}'s van stood in the way.|The letter to {q} came back.|{q} and {q} carried the tank outside.|A statement from {q} is still missing.
+{q} sagte, dass die Tür offen war.|Der Brief ging an {q} und kam nicht zurück.|{q} a écrit deux lettres au bureau.|La clé a été remise par {q} hier soir.|{q} dijo que la puerta estaba abierta.|La llave la tenía {q} desde ayer.
+They gave {q} the spare parts.|My colleague {q} brought the meter.|Last week {q} told us about the leak.|In the end {q} signed for it.|Tonight {q} rang twice.|Soon {q} {v}ed it.|Finally {q} {v} the {v} and {v}.|Because {q} {v}, the {v} was late.|While {q} {v}ed, nobody {v} it.|Perhaps {q} knew.|When {q} paid, the others waited.|A call from {q} came at noon.|Flowers to {q} went out.|{q} {v}ed that the {v} was late.|The {v} from {q} {v} again.|In {v} {q} {v}ed it twice.|{q} {v}s the {v} every day.|They {v} {q} on Friday.|Then a {v} of {q} was {v}ed.|All {v} with {q}, as the {v} said.|{q} noticed a smell of gas in the corridor.
+""".strip().replace("\n", "|").split("|")
+# Capitalised runs that are places, bodies and things, and headings run into text.
+NAMELESS = """
+The fire at {t} {z} was seen from the road.|Samples from {t} {z} were lost.|A unit near {t} {z} was shut.|The {z} {x} rig ran for days.|The {z} {x} was blamed for the fault.|They compared {z} {x} paste with the old one.
+Where {z} meets {x}, the drawings differ.|Durch {z} fiel die Pumpe aus.|Der Rundbrief von {z} {x}blatt ist bestellt und wurde versandt.|Die Angaben von {z} {x}stelle sind nicht geprüft.|- On 12 May the vent of the tank at {t} {z}…
+The {z} {x} and the {x} {z} were both tested.|In {z} {x} the rule was not applied.|{z} {x} valves were fitted later and {z} {x} seals too.|Hot {z} work was stopped, as hot work is not allowed.|Gas Detection is covered below; gas detection and {z}.
+Der Druck fiel, bevor das {z} von {t} und später die {x} von {t} nachgab.|Untersuchung: die {z} von {x} und das {x} von {t}|El {z} de {t} y la {x} de {t} fallaron.
+They moved the rack from {t} {z} to {z} {t} by train.|Vom Standort {z} {x} wurde die Anlage zu der Halle gebracht.|Der Versuch {z} {x} wurde mit der Pumpe und dem Ventil wiederholt.|The line to {z} {x} is closed for the winter.
+""".strip().replace("\n", "|").split("|")
 HARMLESS = """
 Firmware {d}.{d}.{d} logs under cell@rack{d} in bay {d}, North Yard.|The flow meter counted {d} {f} {f} litres at {d} {d} N, {d} {d} W.|Batch {g}-{g}-{g} came from the Marlow Street depot, unit {d}.
 Report no. 20{d}-{f}-{g} lists cell serial QK {d} {d} {d} B.|{t} Instruments supplied part {f}.{f}.{g} for the {s} method.|The recorder stamped 20{d}-12-{d} 23:{d}:17 at channel {f}.
@@ -377,7 +480,7 @@ Abrufdatum {d}.11.20{d}, Archivnummer {g}{d}|Consulté le {d}/11/20{d}, dossier
 Serial numbers {g}-{f}-{g} and {g} {g} {f} were logged.|Order {g}{g}{g} of the {y} shipped.|SKU {g}{d} \\| price \\| charger|Pressure rose to {d}.{d} bar at {d}:{d}.|{s}. Mirel {y}|ACCORDING TO THE SOURCES HELD, HOW MANY CYCLES DID THE PANEL ALLOW|the code 20{d} {f} {g} of the batch|See http://{w}{d}.example/{g}
 ## Limits\nLea también: una nota de {t}|### Scope {t}\nRosa Blätter lagen am Tor|at {d} {d} N, {d} {d} W. Related failures were noted.|cell serial QK {d} {d} B. Subscribers lost signal.|serial {d} {d} B. {t} had none.
 It reached {d} °C. Durch den Spalt trat Gas aus.|a rise of {d} K. Pressure fell at {d} V. Gas was found.|on 0{d}/12/20{d}\n{d}.{d} Scope of the test|See {d}.{d}.20{d}\n{d} {w}|am 0{d}/11/20{d} {d}.{d} Ursachen
-Kosten von {g} {f} Euro wurden genannt.|Zone {d} of the {y}, close to {t} Lane|No one was hurt at {t} {y}.|It was {s} {y} that supplied the {s} test.|Times are local. Mirel valves were used.|Noor and the crew saw wen they came.
+Kosten von {g} {f} Euro wurden genannt.|By the {s} desk, 0{h}/0{h}/20{d}\\n\\n{h}.{h} {z} of the cell|Redaktion {s}, 0{h}/0{h}/20{d}\\n{h}.{h} Ursachen {t}|Zone {d} of the {y}, close to {t} Lane|No one was hurt at {t} {y}.|It was {s} {y} that supplied the {s} test.|Times are local. Mirel valves were used.|Noor and the crew saw wen they came.
 """.strip().replace("\n", "|").replace("\\|", "¦").split("|")
 _SURNAMES = "Ashdown Belmar Corvane Dunleavy Eskelin Farrow Grunwald Hollis Ibarren Jansky Kestell Lorimer Marchetti Novak Ortega Pellerin Quirke Rossow Sandvik Thorne Ulbricht Varga Wexler Yilmaz Zeller O'Hara Lund-Berg D'Amico".split()
 _GIVEN_OTHERS = "Aurelio Brynja Casimir Delphine Evander Florin Gwenda Hedvig".split()
@@ -409,6 +512,18 @@ def _name(r: random.Random) -> str:
     return out
 
 
+def _coined(r: random.Random) -> str:
+    """A capitalised word of syllables that no list holds."""
+    return "".join(r.choice("b br d f g gr h j k kl l m n p r s st t tr v w z".split()) + r.choice("a e i o u ei au ia".split()) for _ in range(r.choice([1, 2, 2]))).capitalize() + r.choice(["n", "l", "r", "s", "th", "sh", "ne", "la", "k", ""])
+
+
+def _unlisted(r: random.Random) -> str:
+    """A name whose given name is on no list."""
+    given = r.choice(_GIVEN_OTHERS) if r.random() < 0.2 else _coined(r)
+    surname = r.choice(_SURNAMES) if r.random() < 0.4 else _coined(r)
+    return f"{given} {r.choice(['', '', '', '', r.choice('ABCDEFGHJKLMNPRSTWY') + '. ', 'van ', 'de '])}{surname}"
+
+
 def _digits(r: random.Random, shape: str) -> str:
     return "".join(str(r.randrange(10)) if c == "9" else r.choice("ABCDEFGHJKLMPRSTXY") if c == "A" else c for c in shape)
 
@@ -447,13 +562,14 @@ def made_up(count: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]
     for _ in range(count):
         text, true = "", set()
         for _ in range(r.randint(1, 3)):
-            pattern = r.choice(PATTERNS if r.random() < 0.62 else HARMLESS).replace("\\n", "\n").replace("¦", "|")
+            kind = r.random()
+            pattern = r.choice(PATTERNS if kind < 0.47 else PLAIN if kind < 0.6 else HARMLESS if kind < 0.89 else NAMELESS).replace("\\n", "\n").replace("¦", "|")
             if text:
                 text += r.choice([" ", "\n", "\n\n", ". "])
             for part in re.split(r"(\{\w\})", pattern):
-                kind = {"{n}": "name", "{e}": "email", "{p}": "phone", "{a}": "address"}.get(part)
+                kind = {"{n}": "name", "{q}": "name", "{e}": "email", "{p}": "phone", "{a}": "address"}.get(part)
                 if kind:
-                    value = {"name": _name, "email": _email, "address": _address}[kind](r) if kind != "phone" else _digits(r, r.choice([
+                    value = _unlisted(r) if part == "{q}" else {"name": _name, "email": _email, "address": _address}[kind](r) if kind != "phone" else _digits(r, r.choice([
                         "+44 20 7946 0999", "(020) 7946 0999", "07700 900999", "01632 960999", "+1-202-555-0199", "202 555 0199 ext. 99", "(312) 555-0199", "415.555.0199", "+33 1 99 00 99 99", "01 99 00 99 99", "030 23125 999", "+49 (0)30 23125-999", "+442079460999", "030/99999999",
                     ]))
                     true.add((len(text), len(text) + len(value), kind))
@@ -466,8 +582,8 @@ def made_up(count: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]
                     true.add((len(text), len(text) + len(value), "id_number"))
                 else:
                     value = {
-                        "{t}": r.choice(_TOWNS), "{w}": r.choice(["leak", "smoke", "pump", "Hello", "Note"]), "{d}": str(r.randint(10, 28)), "{f}": str(r.randint(100, 999)), "{g}": str(r.randint(1000, 9999)),
-                        "{s}": r.choice(_SURNAMES + ["Halberg", "Orrin", "Dorrick"]), "{y}": r.choice(["Yard", "Works", "Depot", "Mill", "Park", "Store", "Plant", "Terminal"]),
+                        "{t}": r.choice(_TOWNS), "{w}": r.choice(["leak", "smoke", "pump", "Hello", "Note"]), "{d}": str(r.randint(10, 28)), "{h}": str(r.randint(1, 9)), "{f}": str(r.randint(100, 999)), "{g}": str(r.randint(1000, 9999)),
+                        "{s}": r.choice(_SURNAMES + ["Halberg", "Orrin", "Dorrick"]), "{v}": _coined(r).lower(), "{z}": _coined(r), "{x}": _coined(r), "{y}": r.choice(["Yard", "Works", "Depot", "Mill", "Park", "Store", "Plant", "Terminal"]),
                     }.get(part, part)
                 text += value
         if r.random() < 0.15:
@@ -478,7 +594,9 @@ def made_up(count: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]
     return out
 
 
+@lru_cache(maxsize=4)
 def fit(s: Settings = Settings()) -> semi_crf.Model:
+    """The field for ``s``, fitted once a process."""
     finder = Finder()
     return semi_crf.fit([(finder.segments(t), true) for t, true in made_up(s.texts, s.seed)])
 

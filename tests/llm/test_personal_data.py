@@ -40,6 +40,33 @@ def test_held_out(model):
     assert hit / (hit + wrong) > 0.96 and hit / (hit + missed) > 0.94
 
 
+# names and sentences that stand in no list and no pattern of the module
+UNLISTED = "Tobias Keller|Brigitte Vogel|Nathaniel Price|Rajesh Iyer|Wiremu Paki|Siobhan Doyle|Kwame Mensah|Lidia Ferrante|Mateusz Zielinski|Agneta Sund|Gavin O'Leary|Pernille Holm-Dahl".split("|")
+SENTENCES = [
+    "The photographs in this section were taken by {} shortly before dawn.", "Later {} admitted that nobody had looked at the gauge.", "Among the drawings {} kept a list of spare keys.",
+    "In an interview {} described the sound as a sharp crack.", "{} then switched the ventilation off and waited for the crew.", "Two hours later the insurer telephoned {} about the claim.",
+    "A neighbour, {}, took the dog away.", "Neither the owner nor {} could remember the date.", "Our thanks go to {} for reading the draft.", "{} keeps bees behind the workshop.",
+    "Nobody had warned {} about the fumes.", "The minutes say that {} left early because of the noise.",
+]
+NO_NAMES = [
+    "The fire at Sandford Hollow was seen from the road.", "Readings from the Keldholm Brinex rig are listed below.", "Water Supply is treated in the next part; water supply and drains are old.",
+    "They shipped the tank from Elmstead Cross to Port Mallow by rail.", "Die Pumpe von Waldheim und das Ventil von Osterburg fielen aus.", "The Ridgeway Institute reviewed the rule and the Ashgrove Council did not.",
+    "In Lower Brackwell the alarm was late.", "A Quorell Tenby valve was fitted and later removed.", "Monday Morning readings were low, and the monday shift saw it.", "Durch Korrosion fiel die Leitung in der Halle aus.",
+]
+
+
+def test_names_and_contexts_that_no_list_holds(model):
+    finder = P.Finder()
+    assert not any(n.split()[0].lower() in P.GIVEN for n in UNLISTED)
+    hit = 0
+    for s in SENTENCES:
+        for n in UNLISTED:
+            a = s.index("{}")
+            hit += [(a, a + len(n))] == [(x.start, x.end) for x in P.entities(s.format(n), finder, model)]
+    wrong = [(s, [s[x.start : x.end] for x in found]) for s in NO_NAMES if (found := P.entities(s, finder, model))]
+    assert hit >= 0.9 * len(SENTENCES) * len(UNLISTED) and len(wrong) <= 1, (hit, wrong)
+
+
 def test_decoding_is_exact():
     r = random.Random(5)
     for _ in range(40):
