@@ -1,7 +1,7 @@
 """Linear-chain conditional random field on sparse binary features, in numpy.
 
-Training is full-batch on padded sequences (forward-backward in log space, Adam), decoding is
-Viterbi for a whole batch of sequences at once.
+Training is full-batch (forward-backward in log space, Adam) on the features that occur, without
+dense feature matrices; decoding is Viterbi for a whole batch of sequences at once.
 """
 
 from __future__ import annotations
@@ -39,23 +39,27 @@ def fit(sequences: list[list[tuple[list[str], str]]], labels: tuple[str, ...], d
     index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= rare))}
     k, n, t = len(labels), len(sequences), max(map(len, sequences))
     number = {x: i for i, x in enumerate(labels)}
-    x = np.zeros((n, t, len(index)), dtype=np.float32)
     y = np.zeros((n, t), dtype=np.int64)
     on = np.zeros((n, t), dtype=bool)
+    cell, ids = [], []  # each feature that occurs: its place in the padded sequences, its number
     for i, s in enumerate(sequences):
         for j, (fs, lab) in enumerate(s):
-            for f in fs:
-                if f in index:
-                    x[i, j, index[f]] = 1
+            found = [index[f] for f in set(fs) if f in index]
+            ids += found
+            cell += [i * t + j] * len(found)
             y[i, j], on[i, j] = number[lab], True
-    flat = x.reshape(n * t, -1)
+    cell, ids = np.array(cell, dtype=np.int64), np.array(ids, dtype=np.int64)
+
+    def totals(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(at, weights=values[:, c], minlength=size) for c in range(k)], 1)
+
     params = [np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     gold = np.eye(k)[y] * on[..., None]
     pairs = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
     for step in range(1, steps + 1):
         emit, move, start = params
-        e = (flat @ emit).reshape(n, t, k)
+        e = totals(cell, emit[ids], n * t).reshape(n, t, k)
         a, b = np.empty((n, t, k)), np.zeros((n, t, k))
         a[:, 0] = e[:, 0] + start
         for j in range(1, t):
@@ -68,7 +72,7 @@ def fit(sequences: list[list[tuple[list[str], str]]], labels: tuple[str, ...], d
         for j in range(1, t):
             w = np.exp(a[:, j - 1, :, None] + move + (e[:, j] + b[:, j])[:, None, :] - z[:, None, None])
             q += (w * on[:, j, None, None]).sum(0)
-        grads = [flat.T @ (gold - p).reshape(n * t, k), pairs - q, (gold[:, 0] - p[:, 0]).sum(0)]
+        grads = [totals(ids, (gold - p).reshape(n * t, k)[cell], len(index)), pairs - q, (gold[:, 0] - p[:, 0]).sum(0)]
         for i, g in enumerate(grads):
             g = g / n - decay * params[i]
             first[i] = 0.9 * first[i] + 0.1 * g
