@@ -13,6 +13,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ class Shares:
     refusal: float = 0.4
     echo: float = 0.95
     foreign: float = 0.5
-    sequences: int = 1500
+    sequences: int = 3000
 
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -88,6 +89,58 @@ Como modelo de lenguaje, no puedo hablar de ese tema.
 No me es posible responder a esta pregunta.
 Mis normas no me permiten responder.""",
 }
+# Parts that refusals are put together from: how they begin, that one will not or
+# cannot, what it is that one does not do, what about, and why.
+REFUSAL_PARTS = {
+    "en": (
+        ["", "", "", "Sorry, ", "I'm sorry, but ", "My apologies: ", "Unfortunately, ", "I'm afraid ", "I regret that ", "Thank you for asking, but ", "Thanks for asking, but ", "Good question, but ", "No: ", "Let me be clear: ", "With respect, ", "As an assistant, "],
+        ["I can't", "I cannot", "I won't", "I will not", "I'm not able to", "I am unable to", "I'm not going to", "I would rather not", "I'd prefer not to", "I must decline to", "I have to refuse to", "I have no intention to", "I'm not in a position to", "I am not allowed to",
+         "I have been asked not to", "I have been told not to", "it is not for me to", "it is not my place to", "I choose not to", "I will have to decline to", "we do not", "we cannot", "I do not", "I don't wish to", "I must avoid to", "I am declining to", "I refuse to", "I am going to refuse to", "I'm choosing not to"],
+        ["help with", "assist with", "answer", "respond to", "discuss", "talk about", "comment on", "speak about", "explain", "go into", "get into", "deal with", "engage with", "give details on", "give out", "provide", "share", "take up", "describe", "advise on", "be drawn on", "reply to", "address", "offer an opinion on", "continue with", "support", "look into", "take part in"],
+        ["this", "that", "this topic", "that subject", "this question", "such questions", "requests of this kind", "this request", "such information", "this matter", "anything of this sort", "this conversation", "your request", "what you ask", "these things", "it", "questions of that sort", "matters like these"],
+        ["", "", "", " with you", " here", " at all", ", as it could be misused", " because of my guidelines", " under my rules", ", since it may cause harm", "; that is my policy", ", whatever the reason", " in this conversation"],
+    ),
+    "de": (
+        ["", "", "Leider ", "Es tut mir leid, aber ", "Bedaure: "],
+        ["kann ich", "darf ich", "möchte ich", "will ich", "werde ich"],
+        ["dazu nichts sagen", "diese Frage nicht beantworten", "dabei nicht helfen", "darüber nicht sprechen", "darauf nicht eingehen", "dazu keine Auskunft geben", "diesem Wunsch nicht nachkommen", "hierzu keine Angaben machen", "mich dazu nicht äußern"],
+        [""],
+        ["", "", ", weil es Schaden stiften könnte", ", da meine Regeln es verbieten", " und bitte um Verständnis"],
+    ),
+    "fr": (
+        ["", "", "Désolé, ", "Je regrette, ", "Malheureusement, "],
+        ["je ne peux pas", "je ne veux pas", "je ne suis pas autorisé à", "je ne suis pas en mesure de", "je préfère ne pas", "je dois refuser de", "il ne m'est pas permis de"],
+        ["répondre à", "parler de", "commenter", "discuter de", "vous aider sur", "expliquer", "donner des détails sur", "traiter"],
+        ["cela", "ce sujet", "cette question", "votre demande", "ce genre de choses"],
+        ["", "", ", car mes règles l'interdisent", " avec vous", " pour des raisons de sécurité"],
+    ),
+    "es": (
+        ["", "", "Lo siento, ", "Lamentablemente, ", "Me temo que "],
+        ["no puedo", "no quiero", "no voy a", "no estoy autorizado a", "prefiero no", "debo negarme a", "no se me permite", "no me corresponde"],
+        ["responder a", "hablar de", "comentar", "ayudar con", "explicar", "dar detalles sobre", "tratar", "opinar sobre"],
+        ["eso", "este tema", "esta pregunta", "su petición", "ese asunto"],
+        ["", "", ", porque mis normas lo prohíben", " con usted", " por motivos de seguridad"],
+    ),
+}
+# Refusals that name no act.
+SHORT_REFUSALS = {
+    "en": """This falls outside of what I may talk about.
+That is beyond what I can share with you.
+This is something I stay away from.
+That's a subject I would prefer to leave alone.
+I will pass on this.
+No comment from me.
+I am out of this conversation.
+You had better ask somebody else; this is not for me.
+My rules put this off limits for me.
+Not something I do.
+I'll have to leave it there.
+I'd like to keep out of this one.
+Don't ask me that.""",
+    "de": "Das ist nichts für mich.\nFragen Sie bitte jemand anderen; ich halte mich da heraus.\nKein Kommentar von mir.\nDavon lasse ich die Finger.",
+    "fr": "Ce n'est pas à moi de le dire.\nDemandez à quelqu'un d'autre ; je m'abstiens.\nSans commentaire de ma part.\nJe préfère m'en tenir là.",
+    "es": "No me toca a mí decirlo.\nPregunte a otra persona; yo me abstengo.\nSin comentarios por mi parte.\nPrefiero dejarlo aquí.",
+}
 AFTER_REFUSAL = {
     "en": ["Please consult a qualified professional.", "Is there anything else I can do?", "Let us talk about something else instead.", "I hope you understand.", "Try a different question.", "Ask me something else."],
     "de": ["Bitte wenden Sie sich an eine Fachperson.", "Kann ich sonst etwas tun?"],
@@ -107,7 +160,17 @@ None of the passages retrieved covers the gasket; the evidence is insufficient.
 This cannot be answered from the evidence held: the passages speak of the pump only.
 The documents do not say.
 I cannot answer this from the sources, since the evidence does not cover it.
-There is not enough evidence in the passages to answer.""",
+There is not enough evidence in the passages to answer.
+I found nothing on this in the documents, so I can give no figure.
+The question is out of scope; I only hold reports on fires.
+I have no source that supports an answer.
+I cannot tell from the passages whether the valve was open.
+We have no evidence on that point.
+My sources are silent about the gasket.
+I am unable to confirm it, as no passage mentions the pump.
+The material I was given does not cover this.
+I'm afraid the evidence retrieved does not settle this.
+Sorry, the documents held do not mention it.""",
     "de": """Die vorliegenden Quellen nennen diesen Wert nicht.
 Dazu enthalten die Quellen keine Angabe.
 Das liegt außerhalb des Themas dieser Sammlung.""",
@@ -131,7 +194,16 @@ On 21 May 2014 the cell at the works was taken out of service.
 No one in the hall was hurt, but the fuse holder and 4 units beside it were lost.
 The valve shall be inspected every 30 days, and records shall be kept for 5 years.
 Home units with a collector showed a wave in 8 of 50 trials.
-The policy of the owner prevents any change to the vent.""",
+The policy of the owner prevents any change to the vent.
+My reading of the log is that the pump failed first; I would put it at 12 s.
+I saw that the hatch could not be opened, so we did not go in.
+We do not know who closed the valve, but we measured 20 ppm.
+The crew would not talk about the leak with the owner.
+I can answer that: the seal was replaced after 40 cycles.
+You should not open the rack before 30 minutes have passed.
+I do not agree with the report, which gives 22 bar.
+They declined to share the data and would not respond to the board.
+You cannot ask for a refund after 12 days.""",
     "de": """Nach 17 Minuten erreichte die Pumpe in der Trocknung eine Temperatur von 172 °C.
 Die Prüfung ergab, dass das Ventil seit 90 Tagen nicht gewartet worden war.
 Der Druck stieg auf 16 bar, bevor der Filter und später das Modul nachgab.
@@ -163,10 +235,21 @@ PLACEHOLDERS = frozenset("n/a na null none nil nan undefined tbd todo answer rea
 # Words that open a complete short answer.
 _SHORT = frozenset("yes no none ja nein keine oui non aucun aucune sí si ninguno ninguna approximately about both neither".split())
 
-_SELF = re.compile(r"\b(?:i|we|me|my|our|i'm|i'd|ich|wir|mir|meine|je|j'ai|nous|mes|yo|mis|me)\b")
+_SELF = re.compile(r"\b(?:i|we|me|my|our|i'm|i'd|i'll|i've|we're|ich|wir|mir|mich|meine[rmn]?|je|j'ai|moi|nous|mes|ma|m'\w+|yo|mis|me|mí)\b")
+_YOU = re.compile(r"\b(?:you|your|yours|sie|ihnen|ihre[rmn]?|vous|votre|vos|usted|su|le)\b")
 _DENY = re.compile(
-    r"\b(?:cannot|can ?not|can't|won't|will not|would not|not (?:be )?(?:able|allowed|permitted|appropriate)|unable|decline|refuse|rather not|may not|do not|prevents?|against|"
-    r"nicht|kein\w*|ablehnen|verweiger\w*|ne \w+ pas|refuser|no puedo|negarme|no me)\b"
+    r"\b(?:cannot|can ?not|can't|won't|will not|would not|wouldn't|not (?:be )?(?:able|allowed|permitted|appropriate|going|for me|my)|unable|declin\w+|refus\w+|rather not|prefer (?:not|to)|may not|do not|don't|"
+    r"prevents?|against|no intention|not (?:in a position|something|to)|avoid|pass on|stay away|keep out|leave (?:it|that|this)|outside of what|beyond what|off limits|no comment|forbid\w*|forbidden|prohibit\w*|liberty|irresponsible|"
+    r"nicht|nichts|kein\w*|ablehnen|verweiger\w*|ne \w+ pas|n'\w+ pas|ne pas|refuser|m'abstiens|interdit|untersagt|verboten|prohibido|prohíben|abstengo|no (?:puedo|quiero|voy|estoy|se me|me)|negarme|prefiero no|sin comentarios)\b"
+)
+# What one does with a question or a request.
+_DEAL = re.compile(
+    r"\b(?:help|assist|answer\w*|respond|reply|discuss\w*|talk|comment|speak|explain\w*|engage|provide|share|advise|opinion|address|conversation|topic|subject|request\w*|ask|information|"
+    r"sagen|beantworten|helfen|sprechen|eingehen|auskunft|äußern|nachkommen|frage|anfrage|répondre|parler|commenter|discuter|aider|expliquer|demande|sujet|responder|hablar|comentar|ayudar|explicar|opinar|petición|tema)\b"
+)
+_SORRY = re.compile(r"\b(?:sorry|afraid|apolog\w+|unfortunately|regret\w*|respectfully|leider|leid|bedaure|désolé|malheureusement|regrette|lo siento|lamentablemente|me temo)\b")
+_SOURCE = re.compile(
+    r"\b(?:sources?|passages?|documents?|evidence|reports?|corpus|material|retrieved|scope|knowledge|data|found|text|quellen?|dokumente?|belege?|themas?|unterlagen|preuves?|domaine|fuentes?|documentos?|pruebas?|ámbito)\b"
 )
 
 _CITE = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
@@ -223,7 +306,22 @@ def features(parts: list[str], lows: list[list[str]], question: frozenset[str],
         n = len(low)
         fs = list(set(low))
         if _DENY.search(lower):
-            fs.append("#deny:self" if _SELF.search(lower) else "#deny")
+            own, deal = _SELF.search(lower), _DEAL.search(lower)
+            fs.append("#deny:self" if own else "#deny")
+            if deal:
+                fs.append("#deny:self:deal" if own else "#deny:deal")
+            if _SOURCE.search(lower):
+                fs.append("#deny:source")
+            if _YOU.search(lower):
+                fs.append("#deny:you")
+        if _SORRY.search(lower):
+            fs.append("#sorry")
+        figure = any(map(str.isdigit, low))
+        fs.append("#figure" if figure else "#plain")
+        if not figure and _SELF.search(lower) and not _SOURCE.search(lower):
+            fs.append("#self:plain:you" if _YOU.search(lower) else "#self:plain")
+            if n <= 14 and not sum(map(question.__contains__, low)) > 0.3 * n:
+                fs.append("#self:aside")
         fs.append("#item" if _ITEM.match(p) else "#line")
         if i == last:
             end = p.rstrip("\"'”’»)*_ ")[-1:]
@@ -248,6 +346,18 @@ def features(parts: list[str], lows: list[list[str]], question: frozenset[str],
     return out
 
 
+def refusal(r: random.Random, lang: str) -> str:
+    """A refusal: one of the sentences above, or one put together from their parts."""
+    kind = r.random()
+    if kind < 0.25:
+        return r.choice(REFUSALS[lang].split("\n"))
+    if kind < 0.45:
+        return r.choice(SHORT_REFUSALS[lang].split("\n"))
+    begin, cannot, act, about, why = (r.choice(x) for x in REFUSAL_PARTS[lang])
+    out = f"{begin}{cannot} {act} {about}".strip() + why
+    return out[0].upper() + out[1:] + "."
+
+
 def made_up(count: int, seed: int = 7) -> list[list[tuple[list[str], str]]]:
     """``count`` labelled answers put together from the sentences above."""
     r, out = random.Random(seed), []
@@ -266,10 +376,10 @@ def made_up(count: int, seed: int = 7) -> list[list[tuple[list[str], str]]]:
         elif kind == "abstain":
             body = [(pick(ABSTENTIONS, lang), "answer")]
         elif kind == "refusal":
-            s = pick(REFUSALS, lang)
+            s = refusal(r, lang)
             body = [(s.upper() if r.random() < 0.1 else s, "refusal")]
             if lang == "en" and len(s.split()) < 3:
-                body.append((pick(REFUSALS, lang), "refusal"))
+                body.append((refusal(r, lang), "refusal"))
             if r.random() < 0.4:
                 body.append((pick(AFTER_REFUSAL, lang), "refusal"))
             if r.random() < 0.3:
@@ -299,6 +409,12 @@ def made_up(count: int, seed: int = 7) -> list[list[tuple[list[str], str]]]:
     return out
 
 
+@lru_cache(maxsize=4)
+def fit(s: Shares = Shares()) -> crf.Model:
+    """The field for ``s``, fitted once a process."""
+    return crf.fit(made_up(s.sequences), TAGS)
+
+
 def defect(counts: list[int], tags: list[str], s: Shares = Shares()) -> str | None:
     """The pair's defect from the numbers of words its tags cover."""
     if not counts:
@@ -354,7 +470,7 @@ def pair_defects(pairs: DataFrame, s: Shares = Shares()) -> DataFrame:
     rows = pairs.where("rec_id is not null").select(
         F.col("rec_table").alias("__table"), F.col("rec_id").cast("bigint").alias("__id"), F.col("question").alias("__question"), F.col("answer").alias("__answer")
     )
-    return rows.mapInPandas(_tagger(crf.fit(made_up(s.sequences), TAGS), s), DEFECTS).distinct()
+    return rows.mapInPandas(_tagger(fit(s), s), DEFECTS).distinct()
 
 
 def json_answer(answer: Column) -> Column:

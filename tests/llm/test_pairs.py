@@ -25,6 +25,30 @@ def test_defects(spark):
     assert not wrong
 
 
+# wording that stands in no list of the module
+UNSEEN_REFUSALS = [
+    "I'm going to sit this one out.", "You won't get that from me, I'm afraid.", "That isn't a conversation I can have with you.", "I do apologise, yet I am prevented from describing this.",
+    "That is one I am going to skip.", "I have opted out of exchanges like this one.", "I can't in good conscience help you there.", "My instructions forbid me to reply to this.",
+    "I respectfully decline.", "Answering this would go against my principles, so I won't.", "I'm unable to weigh in on that one, sorry.", "Mir steht es nicht zu, mich damit zu befassen.",
+    "Je ne souhaite pas m'exprimer sur ce point avec vous.", "Prefiero no entrar en ese tema con usted, lo siento.",
+]
+UNSEEN_OTHERS = [
+    "None of the reports I was given mentions a seal at that level.", "We could not find the log, so the passages leave this open.", "I would put the limit at 40 cycles, going by the second report.",
+    "The board declined to comment and the owner refused entry to the crew.", "My estimate is 12 cycles, although the log cannot be checked any more.", "Crews were not allowed to enter before the gas had gone.",
+    "That lies outside the scope of this collection, which holds reports on fires only.", "We do not know why the valve was shut, but nobody had asked for it.",
+]
+
+
+def test_unseen_refusals_and_unseen_answers(spark):
+    asked = {"Mir st": "Wie viele Zyklen ließ die Kommission zu, bevor die Dichtung ersetzt werden musste?", "Je ne ": "Combien de cycles la commission a-t-elle admis avant que le joint soit remplacé ?",
+             "Prefie": "¿Cuántos ciclos admitió la comisión antes de que la junta fuera sustituida?"}
+    rows = [(i, asked.get(a[:6], Q), a) for i, a in enumerate(UNSEEN_REFUSALS + UNSEEN_OTHERS)]
+    got = {r.rec_id: r.defect for r in P.pair_defects(pairs(spark, rows)).collect()}
+    missed = [a for i, a in enumerate(UNSEEN_REFUSALS) if got.get(i) != "refusal"]
+    wrong = [a for i, a in enumerate(UNSEEN_OTHERS, len(UNSEEN_REFUSALS)) if i in got]
+    assert len(missed) <= len(UNSEEN_REFUSALS) // 5 and not wrong, (missed, wrong)
+
+
 def test_null_question_long_and_empty_tables(spark):
     long_ = "The valve was closed. " * 20_000
     got = P.pair_defects(pairs(spark, [(1, None, "Der Druck stieg auf 3 bar, bevor die Pumpe nachgab."), (2, Q, long_), (3, "", Q)])).collect()
