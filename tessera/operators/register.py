@@ -71,10 +71,21 @@ def cascade(gone: DataFrame, documents: DataFrame, chunks: DataFrame) -> tuple[D
 
 def corpus_hash(documents: DataFrame) -> DataFrame:
     """(corpus_sha): one hash over the ordered ids and content hashes of a corpus. Hashes are combined
-    in two levels, buckets of ids first, so that no task holds more than a bucket's hashes."""
-    each = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).withColumn("bucket", F.floor(F.col("doc_id") / 1000))
-    bucket = each.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "sha"))), lambda r: F.concat(r["doc_id"].cast("string"), r["sha"])), ""), 256).alias("sha"))
-    return bucket.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "sha"))), lambda r: F.concat(r["bucket"].cast("string"), r["sha"])), ""), 256).alias("corpus_sha"))
+    in a tree of ``FAN_IN`` ids a node (a node's number is that of its children divided by it), so
+    that a task holds a node's children and no more; ``LEVELS`` of it reach any 64-bit number of
+    consecutive ids below a thousand to that power."""
+    level = documents.select(F.col("doc_id").alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    for _ in range(LEVELS):
+        node = F.floor(F.col("n") / FAN_IN)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "sha"))), lambda r: F.concat(r["n"].cast("string"), r["sha"]))
+        level = level.groupBy(node.alias("n")).agg(F.sha2(F.array_join(listed, ""), 256).alias("sha"))
+    # one node is left, or as many as there are ids beyond the tree's reach, over a thousand to that power
+    top = F.transform(F.array_sort(F.collect_list(F.struct("n", "sha"))), lambda r: F.concat(r["n"].cast("string"), r["sha"]))
+    return level.agg(F.sha2(F.array_join(top, ""), 256).alias("corpus_sha"))
+
+
+#: Children of a node, and levels, of the tree of ``corpus_hash``.
+FAN_IN, LEVELS = 1000, 4
 
 
 @dataclass(frozen=True)
@@ -103,9 +114,10 @@ def cut_version(history: list[Version], manifest: str, corpus: str, index: str)
     return Version(name, manifest, corpus, index)
 
 
-def newly_failing(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(question_id): questions that passed in the baseline and fail now; a publish needs none."""
-    return current.where("not passed").join(baseline.where("passed").select("question_id"), "question_id", "left_semi").select("question_id").distinct()
+def newly_failing(baseline: DataFrame, current: DataFrame, keep: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """Questions that passed in the baseline and fail now, with the columns ``keep`` of ``current``; a
+    publish needs none."""
+    return current.where("not passed").join(baseline.where("passed").select("question_id"), "question_id", "left_semi").select(*keep).distinct()
 
 
 def source_register(sources: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -139,8 +151,8 @@ def transcript(results: DataFrame) -> DataFrame:
 
 def challenge_stats(challenges: DataFrame) -> DataFrame:
     """(status, n) with the total in the row ``total``."""
-    out = challenges.rollup("status").agg(F.count("*").alias("n"))
-    return out.select(F.coalesce("status", F.lit("total")).alias("status"), "n")
+    out = challenges.rollup("status").agg(F.count("*").alias("n"), F.grouping("status").alias("all"))
+    return out.select(F.when(F.col("all") == 1, "total").otherwise(F.col("status")).alias("status"), "n")
 
 
 def parse_issue(body: Column) -> Column:

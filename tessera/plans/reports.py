@@ -91,9 +91,8 @@ def publish_gate(s, d):
     """Newly failing questions of every run against the first."""
     r = table(s, d, "eval_results").select("run_id", "question_id", "passed", "finished_at").distinct()
     first = r.groupBy("run_id").agg(F.min("finished_at").alias("t")).agg(F.min_by("run_id", F.struct("t", "run_id")).alias("run_id"))
-    base = r.join(F.broadcast(first), "run_id", "left_semi").where("passed").select("question_id").distinct()  # one run
-    rest = r.join(F.broadcast(first), "run_id", "left_anti").where("not passed").join(base, "question_id", "left_semi")
-    return rest.select("run_id", "question_id").distinct().groupBy("run_id").agg(F.count("*").alias("newly_failing"))
+    base, rest = (r.join(F.broadcast(first), "run_id", how) for how in ("left_semi", "left_anti"))  # first: one row
+    return G.newly_failing(base, rest, ("run_id", "question_id")).groupBy("run_id").agg(F.count("*").alias("newly_failing"))
 
 
 def source_register(s, d):
@@ -184,12 +183,13 @@ SQL = {
       o as (select max_by(s, (created_at, submission_id)) r from s where status = 'open' group by knowledge_area, question), n as (select max_by(s, (created_at, submission_id)) r from s where status <> 'open' group by knowledge_area, question),
       u as (select r from n union all select o.r from o where not exists (select 1 from n where n.r.knowledge_area = o.r.knowledge_area and n.r.question = o.r.question))
       select r.knowledge_area, r.question, r.submission_id, r.status from u""",
-    "challenge_stats": "select coalesce(status, 'total') status, count(*) n from (select distinct * from submissions) group by rollup (status)",
+    "challenge_stats": "select case when grouping(status) = 1 then 'total' else status end status, count(*) n from (select distinct * from submissions) group by rollup (status)",
     "challenge_graders": f"""with t as (select distinct submission_id, expected, problem from submissions), u as (select *, lower(concat_ws(' ', expected, problem)) x from t)
       select submission_id, case when coalesce(length(expected), 0) > 0 then case when {D.contains_any("x", ("should not answer", "should decline", "no evidence", "not knowable", "unanswerable", "out of scope"))} then 'must_abstain' else 'must_include' end
         when {D.contains_any("x", ("hallucinat", "made up", "fabricat", "invented"))} then 'max_unsupported' when {D.contains_any("x", ("wrong source", "citation", "cited"))} then 'citations_resolve' else 'citations_resolve,max_unsupported' end graders from u""",
-    "corpus_hash": """with e as (select doc_id, sha256(coalesce(text, '')) sha, doc_id // 1000 b from documents), k as (select b, sha256(string_agg(doc_id::varchar || sha, '' order by doc_id)) sha from e group by 1)
-      select sha256(string_agg(b::varchar || sha, '' order by b)) corpus_sha from k""",
+    "corpus_hash": "with l0 as (select doc_id n, sha256(coalesce(text, '')) sha from documents)"
+    + "".join(f", l{i + 1} as (select n // {G.FAN_IN} n, sha256(string_agg(n::varchar || sha, '' order by n)) sha from l{i} group by n // {G.FAN_IN})" for i in range(G.LEVELS))
+    + f" select sha256(string_agg(n::varchar || sha, '' order by n)) corpus_sha from l{G.LEVELS}",
     "content_addresses": "select sha256(text) sha256, count(*) documents, min(doc_id) first_doc from documents where text is not null group by 1 having count(*) > 1",
     "version_order": "select question_id, result_id, run_id from (select *, row_number() over (partition by question_id order by finished_at desc, result_id desc) n from (select distinct question_id, result_id, run_id, finished_at from eval_results)) where n = 1",
     "publish_gate": """with r as (select distinct run_id, question_id, passed, finished_at from eval_results), f as (select min_by(run_id, (t, run_id)) run_id from (select run_id, min(finished_at) t from r group by 1)),
@@ -202,8 +202,8 @@ SQL = {
     "transcript": """with r as (select distinct on (result_id) * from eval_results) select run_id, count(*) total, count(*) filter (passed) passed, count(*) filter (not passed) failed,
       count(*) filter (json_extract_string(answer, '$.status') in ('insufficient_evidence', 'out_of_scope', 'ambiguous', 'unsupported')) abstained,
       array_to_string(list_sort(list(distinct json_extract_string(answer, '$.llm.provider')) filter (json_extract_string(answer, '$.llm.provider') is not null)), ',') providers from r group by 1""",
-    "source_detail": """select source_id, count(*) sections, sum(char_end - char_start)::bigint chars, min_by(chunk_id, (document_id, ordinal, chunk_id)) as first, max_by(chunk_id, (document_id, ordinal, chunk_id)) as last
-      from (select distinct * from chunks) where source_id is not null and char_end is not null group by 1""",
+    "source_detail": """select source_id, count(*) sections, sum(coalesce(char_end, length(text)) - char_start)::bigint chars, min_by(chunk_id, (document_id, ordinal, chunk_id)) as first, max_by(chunk_id, (document_id, ordinal, chunk_id)) as last
+      from (select distinct * from chunks) c left join documents d on d.doc_id = c.document_id where c.source_id is not null group by 1""",
     "table_counts": " union all ".join(f"select '{n}' as name, count(*) n from {n}" for n in ("documents", "chunks", "sources", "questions", "eval_results", "llm_responses", "submissions")),
     "visibility": f"with {_SRC} select publisher, count(*) sources, count(*) filter (mirrored) visible, bool_and(mirrored) all_visible from held group by 1",
     "queue_pending": f"with {_RESP}, {_DONE} select request_id, question_id from req where not exists (select 1 from done where done.request_id = req.request_id and done.prompt_sha = req.prompt_sha)",

@@ -40,10 +40,14 @@ def local_session(cpus: int = 8, app: str = "tessera", **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a folder of this machine used.
+    Only where the session names none and runs in one process (local tests) is a folder of this
+    machine used; on a cluster that would leave each executor's part on its own disk, so there
+    the setting is asked for.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
         os.makedirs(path, exist_ok=True)
         path = "file://" + path
@@ -59,4 +63,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def clear_materialised(spark: SparkSession) -> int:
+    """Delete the tables this process has written with ``materialise`` and return their number; to be
+    called when the results built on them have been read."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done

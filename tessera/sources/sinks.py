@@ -38,9 +38,15 @@ def current_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_corpus(passages: DataFrame, sources: DataFrame, folder: str) -> None:
-    """One JSON line per source with its passages in order."""
-    listed = passages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "section", "text"))).alias("passages"))
-    sources.join(listed, "source_id", "left").write.mode("overwrite").json(folder)
+    """Two folders of JSON lines: ``sources``, and ``passages`` by source in order. A source may hold a
+    tenth of the corpus, so its passages are lines of their own, range-partitioned: a large source
+    takes several files, whose names follow their order."""
+    folder = folder.rstrip("/")
+    sources.write.mode("overwrite").json(f"{folder}/sources")
+    order = ["source_id", "document_id", "ordinal", "chunk_id"]
+    cols = [c for c in order if c in passages.columns]
+    listed = passages.select(*cols, "section", "text").repartitionByRange(*cols).sortWithinPartitions(*cols)
+    listed.write.mode("overwrite").json(f"{folder}/passages")
 
 
 def read_suites(spark: SparkSession, paths: list[str]) -> DataFrame:
