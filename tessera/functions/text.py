@@ -29,10 +29,13 @@ def _trimmed(x: Column) -> Column:
 def normalise(c: Column | str) -> Column:
     """No-break blanks to blanks, line ends to \\n, runs of blanks to one, three or more line ends
     to two, trimmed. (Compatibility forms of letters are left to the reader of raw files.)"""
-    t = F.replace(_col(c), F.lit("\u00a0"), F.lit(" "))
-    t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")  # a lone blank need not be replaced by itself
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    t = F.trim(F.replace(_col(c), F.lit("\u00a0"), F.lit(" ")), F.lit(" \t\n\x0b\f\r"))
+    inner = F.regexp_replace(t, r"\r\n?", "\n")
+    inner = F.regexp_replace(inner, r"[ \t]{2,}|\t", " ")  # a lone blank need not be replaced by itself
+    inner = F.regexp_replace(inner, r"\n{3,}", "\n\n")
+    # most texts need none of it, which plain searches tell sooner than patterns
+    odd = t.contains("\r") | t.contains("\t") | t.contains("  ") | t.contains("\n\n\n")
+    return F.when(odd, inner).otherwise(t)
 
 
 def tokenize(c: Column | str) -> Column:
@@ -174,10 +177,14 @@ def is_meta(c: Column | str) -> Column:
     """Whether a sentence speaks of the answer or its sources rather than of the matter."""
     c = F.trim(_col(c))
     bare = strip_citations(c)
-    terms = content_terms(bare)
+    return is_meta_of(c, content_terms(bare), numbers_with_units(bare), quoted_spans(bare))
+
+
+def is_meta_of(c: Column, terms: Column, numbers: Column, quotes: Column) -> Column:
+    """``is_meta`` of a trimmed sentence whose terms, figures and quotations are at hand."""
     words = _array(C.APPARATUS)
     share = F.size(F.filter(terms, lambda t: F.array_contains(words, t) | F.array_contains(words, F.concat(t, F.lit("e"))))) / F.size(terms)
-    plain = (F.size(numbers_with_units(bare)) == 0) & (F.size(quoted_spans(bare)) == 0)
+    plain = (F.size(numbers) == 0) & (F.size(quotes) == 0)
     return c.rlike(C.META) | c.rlike(C.ANSWER_HEADING) | (plain & (F.size(terms) >= 2) & (share >= 0.5))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from tessera.functions import constants as C
 from tessera.functions import text as T
 from tessera.operators.retrieval import BROADCAST_TERMS, small, spread
+from tessera.session import materialise
 
 MIN_SUPPORT = 0.34
 MIN_QUESTION_COVERAGE = 0.3
@@ -24,6 +25,8 @@ MAX_MISSING_SUBJECT = 0.5
 #: Source types that speak about themselves.
 SELF_TYPES = ("company_page",)
 LABEL_WORDS = 5
+#: Up to so many questions' terms, figures or weights (some kilobytes each) are sent to every task.
+BROADCAST_QUESTIONS = 20_000
 
 
 def bundle(evidence: DataFrame) -> DataFrame:
@@ -40,10 +43,15 @@ def rarity(term: Column, ev: Column) -> Column:
     return F.log(1.0 + F.greatest(F.lit(1), F.size(ev)) / (1.0 + held))
 
 
-def weighted_share(terms: Column, chosen: Column, ev: Column) -> Column:
-    """Share of the weight of ``terms`` that ``chosen`` (a subset) carries; 0 without weight."""
-    total = lambda xs: F.aggregate(F.transform(xs, lambda t: rarity(t, ev)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(total(terms) > 0, total(chosen) / total(terms)).otherwise(F.lit(0.0))
+def weights(terms: Column, ev: Column) -> Column:
+    """Array (t, w) of the question's terms and their weights, to be computed once a question."""
+    return F.transform(terms, lambda t: F.struct(t.alias("t"), rarity(t, ev).alias("w")))
+
+
+def weighted_share(of: Column, chosen: Column) -> Column:
+    """Share of the weight ``of`` a question's terms that ``chosen`` (a set of terms) carries; 0 without."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["w"])
+    return F.when(total(of) > 0, total(F.filter(of, lambda x: F.array_contains(chosen, x["t"]))) / total(of)).otherwise(F.lit(0.0))
 
 
 def scope(questions: DataFrame, inside: tuple[str, ...], outside: tuple[str, ...]) -> DataFrame:
@@ -77,7 +85,8 @@ def gates(questions: DataFrame, evidence: DataFrame, min_chunks: int = 1, min_sc
     rows = q.join(bundle(evidence), "question_id", "left").join(tops, "question_id", "left").withColumn("ev", F.coalesce("ev", F.array()))
     absent = F.filter("subject", lambda t: ~F.exists(F.col("ev"), lambda e: F.array_contains(e["terms"], t)))
     rows = rows.withColumn("missing", F.when(F.size("ev") > 0, F.array_sort(absent)).otherwise(F.array().cast("array<string>")))
-    share = F.round(weighted_share(F.col("subject"), F.col("missing"), F.col("ev")), 6)
+    rows = rows.withColumn("weights", weights(F.col("subject"), F.col("ev")))
+    share = F.round(weighted_share(F.col("weights"), F.col("missing")), 6)
     return rows.select(
         "question_id", F.size("terms").alias("n_terms"), (F.size("terms") >= 3).alias("specific"), F.size("ev").alias("n_evidence"),
         ((F.size("ev") >= min_chunks) & (F.coalesce("top", F.lit(0.0)) >= min_score)).alias("sufficient"), share.alias("missing_share"), F.array_join("missing", " ").alias("missing"),
@@ -87,10 +96,11 @@ def gates(questions: DataFrame, evidence: DataFrame, min_chunks: int = 1, min_sc
 def responsive(answers: DataFrame, questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, addressed, responsive): share of the question's weight that an answer takes up."""
     q = questions.select("question_id", T.content_terms("question").alias("terms")).join(bundle(evidence), "question_id", "left")
+    q = small(q.select("question_id", "terms", F.when(F.col("ev").isNotNull(), weights(F.col("terms"), F.col("ev"))).alias("weights")), BROADCAST_QUESTIONS)
     rows = answers.select("answer_id", "question_id", T.content_terms("text").alias("said")).join(q, "question_id")
-    only = F.array(F.struct(F.lit(0).alias("rank"), F.lit("").alias("source_id"), F.lit(0).alias("authority"), F.col("said").alias("terms"), F.array().cast("array<string>").alias("numbers"), F.lit("").alias("low")))
-    rows = rows.withColumn("ev", F.coalesce("ev", only))
-    share = weighted_share(F.col("terms"), F.array_intersect("terms", "said"), F.col("ev"))
+    # without evidence the answer itself is the one passage that terms are weighed by
+    own = F.transform("terms", lambda t: F.struct(t.alias("t"), F.log(1.0 + 1.0 / (1.0 + F.array_contains("said", t).cast("int"))).alias("w")))
+    share = weighted_share(F.coalesce("weights", own), F.col("said"))
     idle = (F.size("terms") == 0) | (F.size("said") == 0)
     addressed = F.round(F.when(idle, F.lit(0.0)).otherwise(share), 6)
     return rows.select("answer_id", addressed.alias("addressed"), (idle | (addressed >= MIN_QUESTION_COVERAGE)).alias("responsive"))
@@ -106,20 +116,29 @@ def ground(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     figure (with its unit, or its bare value) and every quotation of what they cite."""
     own = W.partitionBy("answer_id").orderBy("sentence_no")
     s = answers.where("text is not null").select("answer_id", "question_id", F.posexplode(T.sentences(T.normalise("text"))).alias("sentence_no", "sentence"))
-    s = s.where(~T.is_meta("sentence")).withColumn("cits", T.citations("sentence")).withColumn("bare", F.trim(T.strip_citations("sentence")))
-    s = s.withColumn("terms", T.content_terms("bare")).join(bundle(evidence), "question_id", "left").withColumn("ev", F.coalesce("ev", F.array()))
+    s = s.select("answer_id", "question_id", "sentence_no", F.trim("sentence").alias("sentence"), T.citations("sentence").alias("cits"), F.trim(T.strip_citations("sentence")).alias("bare"))
+    s = s.select("*", T.content_terms("bare").alias("terms"), T.numbers_with_units("bare").alias("numbers"), T.quoted_spans("bare").alias("quotes"))
+    s = s.select("*", T.is_meta_of(F.col("sentence"), F.col("terms"), F.col("numbers"), F.col("quotes")).alias("meta"), (F.size("terms") >= 3).alias("is_claim"))
+    named = F.when(~F.col("meta") & F.col("is_claim") & (F.size("cits") > 0), F.col("cits"))
+    # sentences travel alone; the evidence meets them after
+    s = s.withColumn("carried", F.last(named, ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1))).where(~F.col("meta")).drop("meta", "sentence")
+    item = F.struct("rank", T.content_terms("text").alias("terms"), T.numbers_with_units(F.lower("text")).alias("numbers"))
+    ev = evidence.select("question_id", item.alias("e")).groupBy("question_id").agg(F.array_sort(F.collect_list("e")).alias("ev"))
+    s = s.join(small(ev, BROADCAST_QUESTIONS), "question_id", "left").withColumn("ev", F.coalesce("ev", F.array()))
     n = F.size("ev")
     valid = lambda xs: F.filter(xs, lambda c: (c >= 1) & (c <= n))
-    s = s.withColumn("is_claim", F.size("terms") >= 3)
-    named = F.when(F.col("is_claim") & (F.size("cits") > 0), F.col("cits"))
-    s = s.withColumn("carried", F.last(named, ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1)))
     s = s.withColumn("eff", F.when(F.size(valid(F.col("cits"))) > 0, valid(F.col("cits"))).otherwise(valid(F.coalesce("carried", F.array().cast("array<int>")))))
     s = s.withColumn("cited", F.filter("ev", lambda e: (F.size("eff") == 0) | F.array_contains("eff", e["rank"])))
     support = F.round(T.coverage(F.col("terms"), F.array_distinct(F.flatten(F.transform("cited", lambda e: e["terms"])))), 6)
-    s = s.withColumn("support", support).withColumn("figures", F.array_distinct(F.flatten(F.transform("cited", lambda e: e["numbers"]))))
+    s = s.withColumn("support", support).withColumn("figures", F.array_distinct(F.flatten(F.transform("cited", lambda e: e["numbers"])))).withColumn("n_ev", n).drop("ev", "cited", "terms")
     bare_figures = F.transform("figures", T.magnitude)
-    wrong = F.exists(T.numbers_with_units("bare"), lambda x: ~F.array_contains("figures", x) & ~F.array_contains(bare_figures, T.magnitude(x)))
-    unquoted = F.exists(T.quoted_spans("bare"), lambda x: ~F.exists("cited", lambda e: F.contains(e["low"], x)))
+    wrong = F.exists("numbers", lambda x: ~F.array_contains("figures", x) & ~F.array_contains(bare_figures, T.magnitude(x)))
+    # the passages' text is fetched for the few sentences that quote
+    texts = evidence.select(F.col("question_id").alias("quoted_in"), F.struct("rank", F.lower("text").alias("low")).alias("e")).groupBy("quoted_in").agg(F.collect_list("e").alias("lows"))
+    s = s.withColumn("quoted_in", F.when(F.size("quotes") > 0, F.col("question_id"))).join(small(texts, BROADCAST_QUESTIONS // 10), "quoted_in", "left")
+    heard = F.filter(F.coalesce("lows", F.array()), lambda e: (F.size("eff") == 0) | F.array_contains("eff", e["rank"]))
+    unquoted = F.exists("quotes", lambda x: ~F.exists(heard, lambda e: F.contains(e["low"], x)))
+    n = F.col("n_ev")
     low = F.col("support") < MIN_SUPPORT
     reason = (
         F.when(~F.col("is_claim"), F.lit(None).cast("string"))
@@ -160,9 +179,10 @@ def extractive_scores(questions: DataFrame, evidence: DataFrame, min_score: floa
     """(question_id, rank, position, sentence, score): evidence sentences fit to answer a question,
     scored by the weight of the question's terms they hold."""
     q = questions.select("question_id", F.lower("question").alias("asked"), T.content_terms("question").alias("terms")).join(bundle(evidence), "question_id")
+    q = small(materialise(q.select("question_id", "asked", weights(F.col("terms"), F.col("ev")).alias("weights")), "weights"), BROADCAST_QUESTIONS)
     each = evidence.select("question_id", "rank", F.posexplode(T.sentences(T.strip_footnotes("text"))).alias("position", "sentence")).withColumn("sentence", F.trim("sentence")).where(T.is_prose("sentence"))
-    rows = each.join(q, "question_id")
-    share = weighted_share(F.col("terms"), F.array_intersect("terms", T.content_terms("sentence")), F.col("ev"))
+    rows = each.withColumn("said", T.content_terms("sentence")).join(q, "question_id")
+    share = weighted_share(F.col("weights"), F.col("said"))
     damp = 1.0 / (1.0 + 0.003 * F.greatest(F.lit(0), F.length("sentence") - 160))
     figure = F.when(T.contains_any(F.col("asked"), C.NUMERIC_CUES) & (F.size(T.numbers_with_units("sentence")) > 0), 1.6).otherwise(1.0)
     duty = F.when(T.contains_any(F.col("asked"), C.REQUIREMENT_CUES) & T.contains_any(F.lower("sentence"), C.REQUIREMENT_WORDS), 1.4).otherwise(1.0)

@@ -26,6 +26,7 @@ HEDGE = (
 )
 STRATEGIES = ("out_of_scope", "false_premise", "misleading", "unanswerable", "over_specific", "multi_source", "contradictory_source", "temporal_trap")
 CAUTION = ("out_of_scope", "false_premise", "unanswerable", "over_specific", "temporal_trap")
+FAILURES = ("hallucinated", "irrelevant_citation", "misread_source", "unsupported_deduction", "missed_uncertainty")
 ABSTAIN_TYPES = ("unanswerable", "out_of_scope")
 
 
@@ -37,8 +38,8 @@ def grade(answers: DataFrame, specs: DataFrame) -> DataFrame:
     """(answer_id, question_id, kind, passed, score).
 
     answers: answer_id, question_id, status, text, citation_validity, grounded_ratio, conflicts,
-    cited_ids, cited_types, cited_authority, retrieved_ids. An unknown kind is an error; a judge
-    without a model passes."""
+    cited_ids, cited_types, cited_authority, retrieved_ids, and where a model has judged them
+    ``judged`` (boolean). An unknown kind is an error; an answer no model has judged passes its judge."""
     rows = answers.join(specs, "question_id")
     low, body = F.lower("text"), F.col("text")
     abstained = F.col("status").isin(list(C.ABSTAINED))
@@ -71,7 +72,7 @@ def grade(answers: DataFrame, specs: DataFrame) -> DataFrame:
         "must_flag_contradiction": ((F.col("conflicts") > 0) | F.contains(low, F.lit("disagree")), None),
         "retrieval_hit": (F.size(wanted) > 0, F.size(wanted) / F.greatest(F.lit(1), F.size(_empty("ids")))),
         "semantic_overlap": ((F.size(reference) == 0) | (overlap >= F.coalesce("value", F.lit(0.3))), F.when(F.size(reference) == 0, 1.0).otherwise(overlap)),
-        "judge": (F.lit(True), F.lit(1.0)),
+        "judge": (F.coalesce("judged", F.lit(True)) if "judged" in answers.columns else F.lit(True), None),
     }
     passed: Column | None = None
     score: Column | None = None
@@ -90,16 +91,18 @@ def question_results(grades: DataFrame) -> DataFrame:
     return grades.groupBy("answer_id").agg(F.bool_and("passed").alias("passed"), F.round(F.avg("score"), 9).alias("score"))
 
 
-def run_metrics(results: DataFrame, freshness_days: Column | None = None) -> DataFrame:
+def run_metrics(results: DataFrame) -> DataFrame:
     """(run_id, metric, value) of the run metrics, long form; metrics without a value are left out.
 
     results: run_id, qtype, status, score, citation_validity, grounded_ratio, hallucinated,
-    conflicts, expected, retrieved, cited (arrays of source ids), indexed (number of sources)."""
+    conflicts, expected, retrieved, cited (arrays of source ids), indexed (number of sources),
+    decided (whether a grader asks for an answer or an abstention), and where known
+    freshness_days and regression_rate, the same in all rows of a run."""
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(b)
     has = F.size("expected") > 0
     abstain = F.col("qtype").isin(list(ABSTAIN_TYPES))
     declined = F.col("status").isin(list(C.ABSTAINED))
-    decisive = ~F.col("qtype").isin("adversarial", "ambiguous")
+    decisive = ~F.col("qtype").isin("adversarial", "ambiguous") | F.col("decided")
     values = {
         "retrieval_precision": F.coalesce(F.avg(F.when(has & (F.size("retrieved") > 0), share(F.col("expected"), F.col("retrieved")))), F.lit(0.0)),
         "retrieval_recall": F.coalesce(F.avg(F.when(has, share(F.col("retrieved"), F.col("expected")))), F.lit(0.0)),
@@ -112,9 +115,10 @@ def run_metrics(results: DataFrame, freshness_days: Column | None = None) -> Dat
         "source_coverage": F.size(F.array_distinct(F.flatten(F.collect_set("cited")))) / F.max("indexed"),
         "contradiction_rate": F.avg((F.col("conflicts") > 0).cast("double")),
     }
+    for metric, column in (("corpus_freshness_days", "freshness_days"), ("regression_rate", "regression_rate")):
+        if column in results.columns:
+            values[metric] = F.max(column)
     wide = results.groupBy("run_id").agg(*[v.alias(k) for k, v in values.items()])
-    if freshness_days is not None:
-        wide = wide.withColumn("corpus_freshness_days", freshness_days)
     names = [c for c in wide.columns if c != "run_id"]
     return wide.unpivot("run_id", names, "metric", "value").where("value is not null").withColumn("value", F.round("value", 6))
 
@@ -189,6 +193,25 @@ def redteam_report(verdicts: DataFrame) -> DataFrame:
     return out.select(F.coalesce("strategy", F.lit("all")).alias("strategy"), "attacks", "survived", F.round(F.col("survived") / F.col("attacks"), 6).alias("survival_rate"))
 
 
+def failure_modes(verdicts: DataFrame) -> DataFrame:
+    """(failure, n): how often each failure mode of ``judge`` occurs, none left out."""
+    n = verdicts.select(F.explode("failures").alias("failure")).groupBy("failure").agg(F.count("*").alias("n"))
+    every = verdicts.sparkSession.createDataFrame([(m,) for m in FAILURES], "failure string")
+    return every.join(n, "failure", "left").select("failure", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def model_attacks(replies: DataFrame) -> DataFrame:
+    """(attack_id, strategy, entity, question) of attacks a model wrote as JSON lines (replies: reply):
+    lines that are no object, of an unknown strategy or without a question are left out, repeated
+    questions taken once; a caller without any takes ``attacks``."""
+    line = F.explode(F.split(F.regexp_replace("reply", r"```(?:json)?", ""), "\n", -1)).alias("line")
+    of = lambda k: F.trim(F.get_json_object("line", f"$.{k}"))
+    rows = replies.where("reply is not null").select(line).where(F.trim("line").startswith("{")).select(F.lower(of("strategy")).alias("strategy"), F.coalesce(of("entity"), F.lit("")).alias("entity"), of("question").alias("question"))
+    rows = rows.where(F.col("strategy").isin(list(STRATEGIES)) & (F.length("question") > 0))
+    one = rows.groupBy("question").agg(F.min(F.struct("strategy", "entity")).alias("s"))
+    return one.select(T.short_hash(F.col("question"), prefix="rt-", length=10).alias("attack_id"), "s.strategy", "s.entity", "question")
+
+
 def promote(broken: DataFrame, suite: DataFrame) -> DataFrame:
     """(question_id, question): broken questions not yet in the suite, one per lower-case trimmed text."""
     key = F.lower(F.trim("question"))

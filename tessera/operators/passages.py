@@ -18,15 +18,18 @@ from tessera.functions import text as T
 def passages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, source_id, ordinal, section, text): one row per section whose document
     exists; repeated rows count once, a null end is the text's end, blank sections are left out."""
-    one = chunks.select("chunk_id", "document_id", "source_id", "ordinal", F.coalesce("section", F.lit("")).alias("section"), "char_start", "char_end").distinct()
+    spans = chunks.where("document_id is not null").groupBy(F.col("document_id").alias("doc_id")).agg(
+        F.collect_set(F.struct("chunk_id", "source_id", "ordinal", F.coalesce("section", F.lit("")).alias("section"), "char_start", "char_end")).alias("spans")
+    )  # one document's sections; repeated rows go here
     docs = documents.select("doc_id", F.col("text").alias("body")).where("body is not null")
-    end = F.coalesce("char_end", F.length("body"))
-    text = T.normalise(F.substring("body", F.col("char_start") + 1, end - F.col("char_start")))
-    return (
-        one.join(docs, F.col("document_id") == F.col("doc_id"))
-        .select("chunk_id", "doc_id", "source_id", "ordinal", "section", text.alias("text"))
-        .where("text != ''")
-    )
+    end = lambda s: F.coalesce(s["char_end"], F.length("body"))
+    cut = lambda s: F.struct(
+        s["chunk_id"].alias("chunk_id"), s["source_id"].alias("source_id"), s["ordinal"].alias("ordinal"), s["section"].alias("section"),
+        F.substring(F.col("body"), s["char_start"] + 1, end(s) - s["char_start"]).alias("raw"),
+    )
+    # texts are cut before the rows multiply, so no row carries more than its own section
+    rows = docs.join(spans, "doc_id").select("doc_id", F.explode(F.transform("spans", cut)).alias("s"))
+    return rows.select("s.chunk_id", "doc_id", "s.source_id", "s.ordinal", "s.section", T.normalise("s.raw").alias("text")).where("text != ''")
 
 
 def sections(documents: DataFrame) -> DataFrame:

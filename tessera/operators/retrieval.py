@@ -49,28 +49,106 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _weighted_terms(passages: DataFrame, asked: list[str]) -> DataFrame:
+    """(chunk_id, len, term, tf): of each passage its length and, as two arrays, the asked terms it holds
+    with their counts (section terms count ``SECTION_WEIGHT``). Expressions over one row, no shuffle.
+    Beyond ``INLINE_TERMS`` asked terms all terms are kept."""
+    stop = list(C.STOPWORDS)
+
+    def terms(c: str) -> Column:
+        return F.filter(T.tokenize(c), lambda t: (F.length(t) > 1) & ~t.isin(stop))
+
+    rows = passages.select("chunk_id", terms("text").alias("body"), terms("section").alias("head"))
+    size = F.size("body") + C.SECTION_WEIGHT * F.size("head")
+    held = (lambda c: F.filter(c, lambda t: t.isin(asked))) if len(asked) <= INLINE_TERMS else F.col
+    rows = rows.select("chunk_id", size.alias("len"), held("body").alias("body"), held("head").alias("head"))
+    rows = rows.withColumn("term", F.array_distinct(F.concat("body", "head")))
+    times = lambda c, t: F.size(F.filter(c, lambda x: x == t))
+    tf = F.transform("term", lambda t: times(F.col("body"), t) + C.SECTION_WEIGHT * times(F.col("head"), t))
+    return rows.select("chunk_id", "len", "term", tf.alias("tf"))
+
+
+#: Up to so many asked terms are a set in the passages' expression.
+INLINE_TERMS = 50_000
+#: Questions scored at once, which with ``_BATCH`` passages bounds a task's score matrix.
+BLOCK, _BATCH = 1000, 4000
+
+
+def _kept(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The rows of each question that can still be among its k best once scores are rounded."""
+    frame = frame.sort_values(["q", "score"], ascending=[True, False])
+    nth = frame.groupby("q").cumcount()
+    last = frame.loc[nth == k - 1].set_index("q")["score"]
+    return frame[frame["score"] >= frame["q"].map(last).fillna(0.0) - 2e-6]
+
+
 def bm25(questions: DataFrame, passages: DataFrame, k: int = C.CANDIDATE_K) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k best passages by BM25; repeated question words
     count as often as they stand.
 
-    Passages are shuffled once, by id. Everything after (term counts, lengths, the join with the
-    questions' terms, the sum per question and passage) keeps that partitioning, and the ranking
-    sends on at most k rows a question and task."""
-    asked = _exploded(questions, ["question_id"], "question").groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    asked = small(materialise(asked, "asked"), BROADCAST_TERMS)
-    vocabulary = asked.select("term").distinct()
-    post = postings(spread(passages, "chunk_id"))
-    wanted = post.join(small(vocabulary, BROADCAST_TERMS).withColumn("asked", F.lit(True)), "term", "left")
-    rows = wanted.groupBy("chunk_id").agg(F.sum("tf").alias("len"), F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("terms"))
-    rows = materialise(rows, "postings")  # read for the counts, then for the scores
-    df = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    stats = passages.agg(F.count("*").alias("n")).crossJoin(rows.agg(F.sum("len").alias("total")))
-    norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") * F.col("n") / F.col("total"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    each = spread(rows, "chunk_id").select("chunk_id", "len", F.explode("terms").alias("t")).select("chunk_id", "len", "t.term", "t.tf")
-    weighed = each.join(small(df, BROADCAST_TERMS), "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    weighed = weighed.select("chunk_id", "term", (idf * F.col("tf") * (C.BM25_K1 + 1) / norm).alias("weight"))
-    scored = weighed.join(asked, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
+    The questions are the stated query set; they and their terms go to the tasks in blocks. Each
+    passage is reduced to the asked terms it holds where it is read, and scored where these are read
+    again: a task sums a block's scores over its passages in a matrix of bounded size and sends on
+    some k rows a question. Nothing else is shuffled but term counts."""
+    spark = questions.sparkSession
+    asked = _exploded(questions, ["question_id"], "question").groupBy("question_id", "term").agg(F.count("*").alias("times")).orderBy("question_id", "term").collect()
+    vocabulary = sorted({r["term"] for r in asked})
+    rows = materialise(_weighted_terms(passages, vocabulary), "postings")
+    df = {r["term"]: r["df"] for r in rows.select(F.explode("term").alias("term")).where(F.col("term").isin(vocabulary) if len(vocabulary) <= INLINE_TERMS else F.lit(True)).groupBy("term").agg(F.count("*").alias("df")).toLocalIterator()}
+    n, total = rows.agg(F.count("*"), F.sum("len")).first()
+    schema = "question_id string, chunk_id string, score double"
+    if not n or not total:
+        return top(spark.createDataFrame([], schema), "question_id", [F.desc("score"), F.asc("chunk_id")], k)
+    number = {t: i for i, t in enumerate(t for t in vocabulary if t in df)}
+    idf = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in number])
+    ids = list(dict.fromkeys(r["question_id"] for r in asked))
+
+    def against(block: list[str]) -> DataFrame:
+        place = {q: i for i, q in enumerate(block)}
+        of_term: dict[int, tuple[list[int], list[int]]] = {}
+        for r in asked:
+            if r["question_id"] in place and r["term"] in number:
+                qs, ts = of_term.setdefault(number[r["term"]], ([], []))
+                qs.append(place[r["question_id"]])
+                ts.append(r["times"])
+        shared = spark.sparkContext.broadcast((block, number, idf, {t: (np.array(q), np.array(x, dtype=np.float64)) for t, (q, x) in of_term.items()}))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block, number, idf, of_term = shared.value
+            best: pd.DataFrame | None = None
+            for whole in batches:
+                for at in range(0, len(whole), _BATCH):
+                    pdf = whole.iloc[at : at + _BATCH]
+                    sizes = pdf["term"].map(len).to_numpy()
+                    if not sizes.sum():
+                        continue
+                    row = np.repeat(np.arange(len(pdf)), sizes)
+                    term = np.fromiter((number.get(t, -1) for ts in pdf["term"] for t in ts), dtype=np.int64, count=int(sizes.sum()))
+                    tf = np.concatenate(pdf["tf"].to_numpy())
+                    norm = tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * pdf["len"].to_numpy()[row] * n / total)
+                    weight = idf[term] * tf * (C.BM25_K1 + 1) / norm
+                    order = np.argsort(term, kind="stable")
+                    terms, begin = np.unique(term[order], return_index=True)
+                    score = np.zeros((len(block), len(pdf)))
+                    for t, i, j in zip(terms, begin, [*begin[1:], len(order)]):
+                        if t >= 0 and t in of_term:
+                            qs, times = of_term[t]
+                            score[np.ix_(qs, row[order[i:j]])] += times[:, None] * weight[order[i:j]][None, :]
+                    take = min(k, len(pdf))
+                    cut = np.partition(score, -take, axis=1)[:, -take]
+                    q, c = np.nonzero((score >= cut[:, None] - 2e-6) & (score > 0))
+                    new = pd.DataFrame({"q": q, "chunk_id": pdf["chunk_id"].to_numpy()[c], "score": score[q, c]})
+                    best = _kept(new if best is None else pd.concat([best, new]), k)
+            if best is not None:
+                yield pd.DataFrame({"question_id": np.array(block, dtype=object)[best["q"]], "chunk_id": best["chunk_id"], "score": best["score"]})
+
+        return rows.select("chunk_id", "len", "term", "tf").mapInPandas(run, schema)
+
+    found: DataFrame | None = None
+    for at in range(0, len(ids), BLOCK):
+        part = against(ids[at : at + BLOCK])
+        found = part if found is None else found.unionByName(part)
+    scored = (found if found is not None else spark.createDataFrame([], schema)).withColumn("score", F.round("score", 6))
     return top(scored.where("score > 0"), "question_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -158,13 +236,14 @@ def structured(questions: DataFrame, passages: DataFrame, sources: DataFrame, k:
 
 
 def match_entities(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(text_id, entity): entities whose name stands in a text as a run of tokens. The first token
-    of the name is joined to the tokens of the text; the run is checked after."""
-    t = texts.select("text_id", T.tokenize("text").alias("tokens"))
-    e = entities.select("entity", T.tokenize("entity").alias("name")).where("size(name) > 0").withColumn("token", F.col("name")[0])
-    pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    each = t.withColumn("token", F.explode(F.array_distinct("tokens"))).withColumn("run", pad(F.col("tokens")))
-    return each.join(e, "token").where(F.contains("run", pad(F.col("name")))).select("text_id", "entity").distinct()
+    """(text_id, entity): entities whose name stands in a text as a run of tokens: all words of the name
+    are met in the text, each at its place after the same beginning."""
+    t = texts.select("text_id", F.posexplode(T.tokenize("text")).alias("at", "token"), F.size(T.tokenize("text")).alias("n"))
+    e = entities.select("entity", T.tokenize("entity").alias("name")).where("size(name) > 0").withColumn("parts", F.size("name"))
+    # a run is met word by word, so that no text travels with its words
+    words = e.select("entity", "parts", F.posexplode("name").alias("place", "token"))
+    met = t.join(words, "token").groupBy("text_id", "entity", "parts", (F.col("at") - F.col("place")).alias("begin")).agg(F.countDistinct("place").alias("met"))
+    return met.where("met = parts").select("text_id", "entity").distinct()
 
 
 def expand(start: DataFrame, triples: DataFrame, hops: int = 2) -> DataFrame:

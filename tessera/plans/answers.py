@@ -9,7 +9,7 @@ from tessera.operators import answering, asking
 from tessera.plans import retrieval as R
 from tessera.plans import sql as D
 from tessera.plans.corpus import _SENTENCES, PASSAGES
-from tessera.session import materialise
+from tessera.session import materialise, once
 from tessera.sources.tables import table
 
 INSIDE = ("cell ageing and state of health", "gas detection and alarm thresholds", "hot work permits", "dust housekeeping")
@@ -17,9 +17,11 @@ OUTSIDE = ("resale price of a battery module", "water supply of a city", "job of
 
 
 def _evidence(s, d, found=R.hybrid_evidence):
+    """Evidence of every question with its text, written once for a state of the tables: every check
+    reads it several times."""
     p = R._passages(s, d)
-    ev = found(s, d, p).join(p.select("chunk_id", "text"), "chunk_id")
-    return materialise(ev, "evidence")  # used several times by every check
+    inputs = [table(s, d, n) for n in ("chunks", "documents", "questions", "sources")]
+    return once(found.__name__, inputs, lambda: found(s, d, p).join(p.select("chunk_id", "text"), "chunk_id"))
 
 
 def _reader_questions(s, d):
@@ -93,8 +95,10 @@ _RESP = "select distinct response_id id, question_id, text from llm_responses wh
 _MAG = lambda x: f"regexp_replace({x}, '[a-z°%]+$', '')"
 _META = f"""(regexp_matches(sentence, {D.q(C.META)}) or regexp_matches(sentence, {D.q(C.ANSWER_HEADING)}) or (len({D.numbers_with_units("bare0")}) = 0 and len(regexp_extract_all(bare0, {D.q(C.QUOTED)})) = 0
    and len(terms) >= 2 and len(list_filter(terms, lambda t: list_contains({D.strings(C.APPARATUS)}, t) or list_contains({D.strings(C.APPARATUS)}, t || 'e'))) / len(terms) >= 0.5))"""
-_GROUND = f"""with {_EV}, base as (select id, {D.normalise("text")} as text from ({_RESP})), {_SENTENCES},
-  s0 as (select s.id, r.question_id, s.sentence_no, s.sentence, regexp_replace(s.sentence, {D.q(C.CITATION)}, ' ', 'g') bare0 from sentences s join ({_RESP}) r on r.id = s.id),
+def _ground_sql(answers: str) -> str:
+    """The checks of grounding over ``answers``, a query of (id, question_id, text)."""
+    return f"""with {_EV}, base as (select id, {D.normalise("text")} as text from ({answers})), {_SENTENCES},
+  s0 as (select s.id, r.question_id, s.sentence_no, s.sentence, regexp_replace(s.sentence, {D.q(C.CITATION)}, ' ', 'g') bare0 from sentences s join ({answers}) r on r.id = s.id),
   s1 as (select *, {D.content_terms("bare0")} terms from s0),
   s2 as (select id, question_id, sentence_no, trim(bare0) bare, terms, len(terms) >= 3 is_claim, list_transform(regexp_extract_all(sentence, {D.q(C.CITATION)}, 1), lambda x: x::integer) cits from s1 where not {_META}),
   s3 as (select s2.*, coalesce(n, 0) n, last_value(case when is_claim and len(cits) > 0 then cits end ignore nulls) over (partition by id order by sentence_no rows between unbounded preceding and 1 preceding) carried
@@ -112,6 +116,9 @@ _GROUND = f"""with {_EV}, base as (select id, {D.normalise("text")} as text from
      case when is_claim then reason = '' end supported, case when is_claim then support end support, reason, list_distinct(eff) eff from s7),
   ratios as (select answer_id, count(*) filter (is_claim) claims, round(coalesce(avg(supported::integer), 1.0), 6) grounded_ratio,
      round(case when sum(n_citations) > 0 then 1 - sum(n_invalid) / sum(n_citations) else 1.0 end, 6) citation_validity from grounded group by 1)"""
+
+
+_GROUND = _ground_sql(_RESP)
 _UNIT = lambda x: f"regexp_extract({x}, '[a-z°%]+$')"
 _CONFLICT = f"""pairs as (select a.question_id, a.rank rank_a, b.rank rank_b, a.raw na, b.raw nb from ev a join ev b on a.question_id = b.question_id and a.rank < b.rank and a.source_id <> b.source_id
     where {D.coverage("a.terms", "b.terms")} >= 0.5),

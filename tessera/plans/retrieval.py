@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import lsa, passages, retrieval
 from tessera.plans import sql as D
 from tessera.plans.corpus import PASSAGES
-from tessera.session import materialise
+from tessera.session import materialise, once
 from tessera.sources.tables import table
 
 #: The date ages are counted to; a parameter, so that results do not depend on the day of the run.
@@ -18,8 +18,9 @@ K1, B, SW, N = C.BM25_K1, C.BM25_B, C.SECTION_WEIGHT, C.CANDIDATE_K
 
 
 def _passages(s, d):
-    """Passages, written once: every retriever and the evidence read them again."""
-    return materialise(passages.passages(table(s, d, "chunks"), table(s, d, "documents")), "passages")
+    """Passages, written once for a state of the tables: every retriever and the evidence read them again."""
+    chunks, docs = table(s, d, "chunks"), table(s, d, "documents")
+    return once("passages", [chunks, docs], lambda: passages.passages(chunks, docs))
 
 
 def _questions(s, d):

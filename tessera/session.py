@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(name: str, inputs: list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written the first time and read again as long as the files behind
+    ``inputs`` (names, sizes and times of change) are the same: an index is built once for a
+    state of the corpus, not once for each query over it."""
+    spark = inputs[0].sparkSession
+    conf, files = spark._jsc.hadoopConfiguration(), []
+    for f in sorted({f for df in inputs for f in df.inputFiles()}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(files))
+    if key in _held:
+        path, schema = _held[key]
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            return spark.read.schema(schema).parquet(path)
+    df = materialise(build(), name)
+    _held[key] = (_written[-1], df.schema)
+    return df
+
+
+_held: dict[tuple, tuple] = {}
 _written: list[str] = []
 
 
@@ -74,6 +97,7 @@ def clear_materialised(spark: SparkSession) -> int:
     """Delete the tables this process has written with ``materialise`` and return their number; to be
     called when the results built on them have been read."""
     done = 0
+    _held.clear()
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
