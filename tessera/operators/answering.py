@@ -23,7 +23,9 @@ MIN_SUPPORT = 0.34
 MIN_QUESTION_COVERAGE = 0.3
 MAX_MISSING_SUBJECT = 0.5
 #: Source types that speak about themselves.
-SELF_TYPES = ("company_page",)
+SELF_TYPES = ("company_page", "self_published")
+#: Source types that are about their subject whether or not a passage names it.
+ABOUT_TYPES = (*SELF_TYPES, "official_record")
 LABEL_WORDS = 5
 #: Up to so many questions' terms, figures or weights (some kilobytes each) are sent to every task.
 BROADCAST_QUESTIONS = 20_000
@@ -238,34 +240,59 @@ def confidence(grounded: DataFrame, answers: DataFrame, evidence: DataFrame, con
     return all_.select("answer_id", score.alias("confidence_score")).withColumn("confidence", F.when(F.col("confidence_score") == 0, "none").when(F.col("confidence_score") >= 0.75, "high").when(F.col("confidence_score") >= 0.55, "medium").otherwise("low"))
 
 
-def verify(claims: DataFrame, passages: DataFrame, sources: DataFrame) -> DataFrame:
+def verify(claims: DataFrame, passages: DataFrame, sources: DataFrame, subject: str | None = None, denied: DataFrame | None = None) -> DataFrame:
     """(claim_id, n_terms, sources, own, independent, verdict): what the held sources say of outside
     claims (claim_id, claim). Claim and passages meet through their terms; a passage supports a claim
     if it holds all of up to three terms, or 0.6 of more. Independent support needs a sentence
     that states it; support of a subject's own pages alone is self reported, or a label if it
-    stands in short lines only."""
-    c = claims.select("claim_id", "claim", T.content_terms("claim").alias("terms")).withColumn("n_terms", F.size("terms"))
-    # passages are shuffled once, by id; pairs of claims and passages are counted where the passage is
-    held = spread(passages, "chunk_id").select("chunk_id", F.explode(T.content_terms(F.concat_ws(" ", "section", "text"))).alias("term"))
-    each = small(c.select("claim_id", "n_terms", F.explode("terms").alias("term")), BROADCAST_TERMS)
-    met = held.join(each, "term").groupBy("claim_id", "n_terms", "chunk_id").agg(F.count("*").alias("met"))
-    need = F.when(F.col("n_terms") <= 3, 1.0).otherwise(0.6)
-    support = met.where(F.col("met") / F.col("n_terms") >= need).select("claim_id", "chunk_id")
-    kind = sources.select("source_id", F.col("source_type").isin(list(SELF_TYPES)).alias("own")).dropDuplicates(["source_id"])
-    rows = support.join(passages.select("chunk_id", "source_id", "section", "text"), "chunk_id").join(kind, "source_id").join(c, "claim_id")
-    pieces = F.filter(F.split("text", r"(?<=[.!?])\s+|\n+|\s+\|\s+", -1), lambda x: F.trim(x) != "")
-    phrase = T.padded_words("claim")
-    states = F.exists(pieces, lambda x: F.when(F.col("n_terms") <= 3, F.contains(T.padded_words(x), phrase)).otherwise(T.coverage(F.col("terms"), T.content_terms(x)) >= 0.6))
-    lines = F.filter(F.split(F.concat_ws("\n", "section", "text"), "\n", -1), lambda x: F.contains(F.lower(x), F.lower("claim")))
-    long_line = F.exists(lines, lambda x: F.size(F.split(F.trim(x), r"\s+", -1)) > LABEL_WORDS)
-    rows = rows.select("claim_id", "source_id", "own", states.alias("states"), F.size(lines).alias("lines"), long_line.alias("long_line"))
+    stands in short lines only.
+
+    With a ``subject``, passages of sources that are not about it by their kind count only where they
+    name it, and so must a stating sentence. ``denied`` (claim_id, source_id) are the sentences a
+    model has read and not confirmed; they state nothing."""
+    rows = support(claims, passages, sources, subject)
+    if denied is not None:
+        no = denied.select("claim_id", "source_id").distinct().withColumn("no", F.lit(True))
+        rows = rows.join(no, ["claim_id", "source_id"], "left").withColumn("stated", F.when(F.coalesce("no", F.lit(False)), F.lit(None)).otherwise(F.col("stated")))
     per = rows.groupBy("claim_id").agg(
-        F.countDistinct("source_id").alias("sources"), F.countDistinct(F.when(F.col("own"), F.col("source_id"))).alias("own"), F.countDistinct(F.when(~F.col("own") & F.col("states"), F.col("source_id"))).alias("independent"),
+        F.count("*").alias("sources"), F.count(F.when(F.col("own"), 1)).alias("own"), F.count(F.when(~F.col("own") & F.col("stated").isNotNull(), 1)).alias("independent"),
         F.sum(F.when(F.col("own"), F.col("lines")).otherwise(0)).alias("lines"), F.max(F.col("own") & F.col("long_line")).alias("long_line"),
     )
-    out = c.select("claim_id", "n_terms").join(per, "claim_id", "left").na.fill(0, ["sources", "own", "independent", "lines"])
+    out = claims.select("claim_id", F.size(T.content_terms("claim")).alias("n_terms")).join(per, "claim_id", "left").na.fill(0, ["sources", "own", "independent", "lines"])
     verdict = (
         F.when((F.col("independent") > 0) & (F.col("n_terms") > 1), "corroborated").when(F.col("own") == 0, "not_found")
         .when((F.col("n_terms") <= 3) & (F.col("lines") > 0) & ~F.coalesce("long_line", F.lit(False)), "label_only").otherwise("self_reported")
     )
     return out.select("claim_id", "n_terms", "sources", "own", "independent", verdict.alias("verdict"))
+
+
+def support(claims: DataFrame, passages: DataFrame, sources: DataFrame, subject: str | None = None) -> DataFrame:
+    """(claim_id, source_id, own, chunk_id, support, stated, lines, long_line, unconfirmed): each source that
+    supports a claim, by its best passage (most of the claim's terms, then the least id), with the
+    first sentence of its supporting passages that states the claim, the lines of its own pages that
+    hold it, and whether the source's identity is unconfirmed by its tags."""
+    c = claims.select("claim_id", "claim", T.content_terms("claim").alias("terms")).withColumn("n_terms", F.size("terms"))
+    # pairs of claims and passages are counted where the passage is; its terms leave it, not its text
+    held = passages.select("chunk_id", F.explode(T.content_terms(F.concat_ws(" ", "section", "text"))).alias("term"))
+    each = small(c.select("claim_id", "n_terms", F.explode("terms").alias("term")), BROADCAST_TERMS)
+    met = spread(held.join(each, "term"), "chunk_id").groupBy("claim_id", "n_terms", "chunk_id").agg(F.count("*").alias("met"))
+    need = F.when(F.col("n_terms") <= 3, 1.0).otherwise(0.6)
+    supporting = met.where(F.col("met") / F.col("n_terms") >= need).select("claim_id", "chunk_id", F.round(F.col("met") / F.col("n_terms"), 6).alias("support"))
+    tags = F.coalesce("tags", F.lit("")) if "tags" in sources.columns else F.lit("")
+    kind = sources.select(
+        "source_id", F.col("source_type").isin(list(SELF_TYPES)).alias("own"), F.col("source_type").isin(list(ABOUT_TYPES)).alias("about"), F.contains(tags, F.lit("identity-unconfirmed")).alias("unconfirmed")
+    ).dropDuplicates(["source_id"])
+    rows = supporting.join(passages.select("chunk_id", "source_id", "section", "text"), "chunk_id").join(kind, "source_id").join(c, "claim_id")
+    if subject:
+        rows = rows.where(F.col("about") | F.contains(F.lower("text"), F.lit(subject.lower())))
+    pieces = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+|\n+|\s+\|\s+", -1), lambda x: F.trim(x)), lambda x: x != "")
+    phrase = T.padded_words("claim")
+    told = lambda x: F.when(F.col("n_terms") <= 3, F.contains(T.padded_words(x), phrase)).otherwise(T.coverage(F.col("terms"), T.content_terms(x)) >= 0.6)
+    named = (lambda x: told(x) & F.contains(T.padded_words(x), T.padded_words(F.lit(subject)))) if subject else told
+    lines = F.filter(F.split(F.concat_ws("\n", "section", "text"), "\n", -1), lambda x: F.contains(F.lower(x), F.lower("claim")))
+    long_line = F.exists(lines, lambda x: F.size(F.split(F.trim(x), r"\s+", -1)) > LABEL_WORDS)
+    rows = rows.select("claim_id", "source_id", "own", "unconfirmed", "chunk_id", "support", F.get(F.filter(pieces, named), F.lit(0)).alias("stated"), F.size(lines).alias("lines"), long_line.alias("long_line"))
+    best = F.struct((-F.col("support")).alias("s"), "chunk_id")
+    return rows.groupBy("claim_id", "source_id", "own", "unconfirmed").agg(
+        F.min_by("chunk_id", best).alias("chunk_id"), F.max("support").alias("support"), F.min_by("stated", F.when(F.col("stated").isNotNull(), F.col("chunk_id"))).alias("stated"), F.sum("lines").alias("lines"), F.max("long_line").alias("long_line")
+    )

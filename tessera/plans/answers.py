@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
+from tessera.functions import text as T
 from tessera.operators import answering, asking
 from tessera.plans import retrieval as R
 from tessera.plans import sql as D
@@ -33,7 +34,9 @@ def _answers(s, d):
 
 
 def _claims(s, d):
-    return table(s, d, "questions").select(F.col("question_id").alias("claim_id"), F.regexp_extract("expected", r"^[^.!?]*", 0).alias("claim"))
+    """Every sentence of the reference passages is a claim."""
+    each = table(s, d, "questions").where("expected is not null").select("question_id", F.posexplode(T.sentences(T.normalise("expected"))).alias("no", "claim"))
+    return each.select(F.concat_ws("#", "question_id", F.col("no").cast("string")).alias("claim_id"), "claim")
 
 
 def gate_scope(s, d):
@@ -42,7 +45,12 @@ def gate_scope(s, d):
 
 
 def gate_reproduction(s, d):
-    return answering.reproduction(_reader_questions(s, d).select("question_id", F.concat(F.lit("quote verbatim 2024 "), "question").alias("question")), R._sources(s, d))
+    """Questions of the suite asked for wording, against a register of pointer sources: a yearbook for
+    each of forty years, which questions that name the year would have quoted."""
+    year = F.col("id").cast("string")
+    pointers = s.range(1985, 2025).select(F.concat(F.lit("yearbook-"), year).alias("source_id"), F.concat(F.lit("Yearbook "), year).alias("title"), (F.col("id") % 5 + 1).cast("int").alias("authority"), F.lit(False).alias("mirrored"))
+    asked = table(s, d, "questions").select("question_id", F.concat(F.lit("Please quote: "), "question").alias("question"))
+    return answering.reproduction(asked, R._sources(s, d).select("source_id", "title", "authority", "mirrored").unionByName(pointers))
 
 
 def question_gates(s, d):
@@ -84,6 +92,12 @@ def verify_claims(s, d):
     return answering.verify(_claims(s, d), R._passages(s, d), R._sources(s, d))
 
 
+def verify_support(s, d):
+    """Which passage of which source supports a claim, and whether a sentence of it states the claim."""
+    rows = answering.support(_claims(s, d), R._passages(s, d), R._sources(s, d))
+    return rows.select("claim_id", "source_id", "own", "chunk_id", "support", F.col("stated").isNotNull().alias("states"))
+
+
 _NUMS = D.numbers_with_units("lower(text)")
 _EV = f"""{R.EVIDENCE}, ev as (select e.question_id, e.rank, e.source_id, e.authority, e.score, e.retrievers, p.text, {D.content_terms("p.text")} terms, {D.numbers_with_units("lower(p.text)")} numbers, lower(p.text) low, {D.numbers_with_units("p.text")} raw
   from evidence e join passages p using (chunk_id)), n_ev as (select question_id, count(*) n, max(score) top from ev group by 1)"""
@@ -129,11 +143,20 @@ _PROSE = f"""(length(sentence) >= 40 and regexp_matches(sentence, '[.?!]$') and
    and not (len(alpha) > 0 and len(list_filter(alpha, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) / len(alpha) > 0.6))"""
 _VERIFY_PAD = lambda c: f"' ' || trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) || ' '"
 
+_SUPPORT = f"""with passages as ({PASSAGES}), {R.SOURCES},
+      base as (select question_id id, {D.normalise("expected")} as text from questions where expected is not null), {_SENTENCES}, c as (select id || '#' || sentence_no claim_id, sentence claim, {D.content_terms("sentence")} terms from sentences),
+      h as (select chunk_id, unnest({D.content_terms("section || ' ' || text")}) term from passages),
+      met as (select claim_id, len(terms) n, chunk_id, count(*) met from (select claim_id, terms, unnest(terms) term from c) join h using (term) group by all),
+      sup as (select claim_id, chunk_id, round(met / n, 6) support from met where met / n >= case when n <= 3 then 1.0 else 0.6 end),
+      r as (select s.claim_id, s.chunk_id, s.support, p.source_id, held.source_type in ('company_page') own, case when len(terms) <= 3 then len(list_filter(string_split(lower(p.text), chr(10)), lambda x: contains({_VERIFY_PAD("x")}, {_VERIFY_PAD("claim")}))) > 0
+          else len(list_filter(string_split(regexp_replace(regexp_replace(p.text, '([.!?])\\s+|\\s+\\|\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)), lambda x: {D.coverage("terms", D.content_terms("x"))} >= 0.6)) > 0 end states
+        from sup s join passages p using (chunk_id) join held using (source_id) join c using (claim_id))"""
+
 SQL = {
     "gate_scope": f"""select question_id, round(i, 6) in_score, round(o, 6) out_score, not (o >= 0.5 and o > i) in_scope from (select question_id, case when len(terms) > 0 then {_best(INSIDE)} else 0.0 end i, case when len(terms) > 0 then {_best(OUTSIDE)} else 0.0 end o
       from (select distinct question question_id, {D.content_terms("question")} terms from submissions where question is not null))""",
-    "gate_reproduction": f"""with {R.SOURCES}, asked as (select distinct question question_id, 'quote verbatim 2024 ' || question q from submissions where question is not null),
-      a as (select question_id, unnest({D.content_terms("q")}) term from asked), h as (select source_id, authority, unnest({D.content_terms("title || ' ' || replace(source_id, '-', ' ')")}) term from held where not mirrored)
+    "gate_reproduction": f"""with {R.SOURCES}, reg as (select source_id, title, authority, mirrored from held union all select 'yearbook-' || y, 'Yearbook ' || y, (y % 5 + 1)::integer, false from range(1985, 2025) t(y)),
+      a as (select question_id, unnest({D.content_terms("'Please quote: ' || question")}) term from questions), h as (select source_id, authority, unnest({D.content_terms("title || ' ' || replace(source_id, '-', ' ')")}) term from reg where not mirrored)
       select question_id, min_by(source_id, (-authority, source_id)) refused_for from a join h using (term) where regexp_matches(term, '\\d') group by 1""",
     "question_gates": f"""with {_EV}, {_RARE}, q as (select question_id, {D.content_terms("question")} terms from questions),
       m as (select question_id, coalesce(sum(w) filter (held = 0) / nullif(sum(w), 0), 0.0) share, string_agg(term, ' ' order by term) filter (held = 0) missing from rare where not list_contains({_FRAME}, term) group by 1)
@@ -166,20 +189,14 @@ SQL = {
           * case when {D.contains_any("lower(question)", C.REQUIREMENT_CUES)} and {D.contains_any("lower(sentence)", C.REQUIREMENT_WORDS)} then 1.4 else 1.0 end, 6) score
         from m join tot using (question_id) join questions q on q.question_id = m.question_id)
       select question_id, rank, position, sentence, score from sc where score >= 0.3""",
-    "verify_claims": f"""with passages as ({PASSAGES}), {R.SOURCES},
-      c as (select question_id claim_id, regexp_extract(expected, '^[^.!?]*') claim, {D.content_terms("regexp_extract(expected, '^[^.!?]*')")} terms from questions),
-      h as (select chunk_id, unnest({D.content_terms("section || ' ' || text")}) term from passages),
-      met as (select claim_id, len(terms) n, chunk_id, count(*) met from (select claim_id, terms, unnest(terms) term from c) join h using (term) group by all),
-      sup as (select claim_id, chunk_id from met where met / n >= case when n <= 3 then 1.0 else 0.6 end),
-      r as (select s.claim_id, p.source_id, held.source_type in ('company_page') own, case when len(terms) <= 3 then len(list_filter(string_split(lower(p.text), chr(10)), lambda x: contains({_VERIFY_PAD("x")}, {_VERIFY_PAD("claim")}))) > 0
-          else len(list_filter(string_split(regexp_replace(regexp_replace(p.text, '([.!?])\\s+|\\s+\\|\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)), lambda x: {D.coverage("terms", D.content_terms("x"))} >= 0.6)) > 0 end states
-        from sup s join passages p using (chunk_id) join held using (source_id) join c using (claim_id)),
+    "verify_claims": _SUPPORT + """,
       per as (select claim_id, count(distinct source_id) sources, count(distinct source_id) filter (own) own, count(distinct source_id) filter (not own and states) independent from r group by 1)
       select c.claim_id, len(terms)::integer n_terms, coalesce(sources, 0) sources, coalesce(own, 0) own, coalesce(independent, 0) independent,
         case when coalesce(independent, 0) > 0 and len(terms) > 1 then 'corroborated' when coalesce(own, 0) = 0 then 'not_found' else 'self_reported' end verdict from c left join per using (claim_id)""",
+    "verify_support": _SUPPORT + " select claim_id, source_id, own, min_by(chunk_id, (-support, chunk_id)) chunk_id, max(support) support, bool_or(states) states from r group by all",
 }
 QUERIES = {f.__name__: f for f in (
-    gate_scope, gate_reproduction, question_gates, gate_responsive, grounding_sentences, grounding_ratios, contradictions, extractive_scores, extractive_answer, answer_confidence, verify_claims,
+    gate_scope, gate_reproduction, question_gates, gate_responsive, grounding_sentences, grounding_ratios, contradictions, extractive_scores, extractive_answer, answer_confidence, verify_claims, verify_support,
 )}
 
 

@@ -13,6 +13,7 @@ from tessera.plans import sql as D
 from tessera.sources.tables import table
 
 AS_OF = R.AS_OF
+INGEST_AS_OF = "2023-12-31"
 
 
 def _as_of():
@@ -28,11 +29,13 @@ def register_problems(s, d):
 
 
 def ingest_actions(s, d):
-    """The latest registration against the one before it: what a run at the given day would do."""
-    src = table(s, d, "sources").where("source_id is not null")
-    reg = retrieval.latest_sources(src).select("source_id", "mirrored", "refresh_days", F.when(F.col("status") != "failed", F.sha2("uri", 256)).alias("sha256"), F.lit(1000).alias("chars"))
-    state = src.groupBy("source_id").agg(F.min("retrieved_at").alias("retrieved_at"), F.sha2(F.min("uri"), 256).alias("sha256"))
-    return G.ingest_actions(reg, state, _as_of())
+    """What a run at ``INGEST_AS_OF`` would do: a source's latest document is what was fetched now, its
+    first one what the store holds."""
+    docs = _docs(s, d).where("source is not null").select("source", F.struct("fetched_at", "doc_id").alias("o"), F.struct(F.sha2("text", 256).alias("sha"), F.length("text").alias("chars")).alias("c"))
+    ends = docs.groupBy(F.col("source").alias("source_id")).agg(F.max_by("c", "o").alias("now"), F.min_by("c", "o").alias("then"))
+    reg = R._sources(s, d).select("source_id", "mirrored", "refresh_days").join(ends.select("source_id", F.col("now.sha").alias("sha256"), F.coalesce("now.chars", F.lit(0)).alias("chars")), "source_id", "left")
+    state = R._sources(s, d).select("source_id", "retrieved_at").join(ends.select("source_id", F.col("then.sha").alias("sha256")), "source_id", "left")
+    return G.ingest_actions(reg, state, F.lit(INGEST_AS_OF).cast("date"))
 
 
 def retire_sources(s, d):
@@ -172,9 +175,9 @@ SQL = {
     "register_problems": f"""select distinct source_id, problem from (select source_id, unnest([case when source_id is null or uri is null or title is null or publisher is null or licence is null then 'missing field' end,
         case when not coalesce(source_type in ({_TYPES}), false) then 'unknown type' end, case when not coalesce(authority between 1 and 5, false) then 'authority outside 1 to 5' end]) problem from sources
       union all select source_id, 'registered twice' from sources group by 1 having count(*) > 1) where problem is not null""",
-    "ingest_actions": f"""with {_SRC}, st as (select source_id, min(retrieved_at) t, sha256(min(uri)) old from sources where source_id is not null group by 1)
-      select h.source_id, case when not mirrored then 'pointer' when t is not null and date_diff('day', t::date, date '{AS_OF}') < refresh_days then 'fresh' when status = 'failed' then 'failed'
-        when sha256(uri) = old then 'unchanged' else 'index' end as action from held h left join st using (source_id)""",
+    "ingest_actions": f"""with {_SRC}, x as (select source, {{'s': sha256(text), 'n': length(text)}} c, (fetched_at, doc_id) o from documents where source is not null), e as (select source, max_by(c, o) a, min_by(c, o) b from x group by 1)
+      select h.source_id, case when not mirrored then 'pointer' when retrieved_at is not null and date_diff('day', retrieved_at::date, date '{INGEST_AS_OF}') < refresh_days then 'fresh' when a.s is null then 'failed'
+        when a.s = b.s then 'unchanged' when a.n < 200 then 'failed' else 'index' end as action from held h left join e on e.source = h.source_id""",
     "retire_sources": "select source, count(*) documents, min(doc_id) first_doc from documents where source is not null and source not in (select source_id from sources where source_id is not null) group by 1",
     "cascade_counts": f"""with {_SRC}, d as (select doc_id from documents where source is null or source not in (select source_id from held where status = 'failed'))
       select 'documents' as name, count(*) n from d union all select 'chunks', count(*) from (select distinct * from chunks) where document_id in (select doc_id from d)""",
