@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -40,11 +40,12 @@ def ask(questions: DataFrame, evidence: DataFrame, sources: DataFrame, inside: t
     """(question_id, status, answer, grounded_ratio, citation_validity, confidence_score, confidence).
 
     Drafts (question_id, answer) come from the caller's model, or are put together from the
-    evidence. A draft is withheld if too many of its sentences lack support or it does not take
+    evidence. A model's draft that says the evidence does not suffice is an abstention. A draft is withheld if too many of its sentences lack support or it does not take
     up the question. Questions a gate settles are never drafted."""
     gated = materialise(prepare(questions, evidence, sources, inside, outside), "gates")
     open_ = questions.join(gated.where("gate is null").select("question_id"), "question_id", "left_semi")
-    if drafts is None:
+    own = drafts is None
+    if own:
         drafts = answering.extractive_answers(answering.extractive_scores(open_, evidence))
     drafts = materialise(drafts.join(open_.select("question_id"), "question_id", "left_semi"), "drafts")
     texts = drafts.select(F.col("question_id").alias("answer_id"), "question_id", F.col("answer").alias("text"))
@@ -57,12 +58,35 @@ def ask(questions: DataFrame, evidence: DataFrame, sources: DataFrame, inside: t
     rows = questions.select("question_id").join(gated, "question_id").join(checked, "question_id", "left")
     status = (
         F.when(F.col("gate").isNotNull(), F.col("gate")).when(F.col("answer").isNull(), "insufficient_evidence")
+        .when(F.lit(not own) & looks_abstained(F.col("answer")), "insufficient_evidence")
         .when(1 - F.coalesce("grounded_ratio", F.lit(1.0)) > MAX_UNSUPPORTED, "unsupported").when(~F.coalesce("responsive", F.lit(True)), "irrelevant").otherwise("answered")
     )
     shown = F.when(status == "answered", F.col("answer"))
     return rows.select("question_id", status.alias("status"), shown.alias("answer"), "grounded_ratio", "citation_validity", "confidence_score", "confidence")
 
 
+# What a model says that abstains.
+ABSTENTION = (
+    "not sufficient to answer", "does not establish", "insufficient evidence", "no evidence", "cannot be answered", "evidence does not", "not enough evidence", "unable to answer",
+)
+_ANSWER = r"(?im)^[ \t]*ANSWER[ \t]*:?[ \t]*$"
+_REASONING = r"(?im)^[ \t]*(?:REASONING|EXPLANATION)[ \t]*:?[ \t]*$"
+
+
+def looks_abstained(text: Column) -> Column:
+    return T.contains_any(F.lower(text), ABSTENTION)
+
+
+def split_sections(text: Column) -> Column:
+    """Struct (answer, reasoning) of a model's reply: what follows a line ANSWER, up to a line REASONING or
+    EXPLANATION; a reply without such lines is all answer."""
+    ends = F.lit(" \t\n\x0b\f\r")
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\u00a0", " "), ends)
+    body = F.element_at(F.split(body, _ANSWER, 2), -1)
+    parts = F.split(body, _REASONING, 2)
+    return F.struct(F.trim(parts[0], ends).alias("answer"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ends).alias("reasoning"))
+
+
 def limitations(answers: DataFrame, grounded: DataFrame, evidence: DataFrame, declared: tuple[str, ...] = ()) -> DataFrame:
     """(question_id, limitations): what an answered question's reader should know: the declared limits,
     a single source, sentences without support, sources without a date (evidence: published_at)."""

@@ -190,3 +190,8 @@ def counts(**tables: DataFrame) -> DataFrame:
 def latest(versions: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key by a total order."""
     return versions.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def first_of(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key by a total order; a task sends on no more than that a key."""
+    return rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__n") <= n).drop("__n")

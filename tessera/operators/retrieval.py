@@ -237,12 +237,14 @@ def structured(questions: DataFrame, passages: DataFrame, sources: DataFrame, k:
 
 def match_entities(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(text_id, entity): entities whose name stands in a text as a run of tokens: all words of the name
-    are met in the text, each at its place after the same beginning."""
-    t = texts.select("text_id", F.posexplode(T.tokenize("text")).alias("at", "token"), F.size(T.tokenize("text")).alias("n"))
-    e = entities.select("entity", T.tokenize("entity").alias("name")).where("size(name) > 0").withColumn("parts", F.size("name"))
+    are met in the text, each at its place after the same beginning. entities: entity, and where it
+    goes by other names ``surface``, a row for each."""
+    t = texts.select("text_id", F.posexplode(T.tokenize("text")).alias("at", "token"))
+    named = entities.select("entity", F.col("surface" if "surface" in entities.columns else "entity").alias("surface"))
+    e = named.select("entity", T.tokenize("surface").alias("name"), "surface").where("size(name) > 0").withColumn("parts", F.size("name"))
     # a run is met word by word, so that no text travels with its words
-    words = e.select("entity", "parts", F.posexplode("name").alias("place", "token"))
-    met = t.join(words, "token").groupBy("text_id", "entity", "parts", (F.col("at") - F.col("place")).alias("begin")).agg(F.countDistinct("place").alias("met"))
+    words = e.select("entity", "surface", "parts", F.posexplode("name").alias("place", "token"))
+    met = t.join(words, "token").groupBy("text_id", "entity", "surface", "parts", (F.col("at") - F.col("place")).alias("begin")).agg(F.countDistinct("place").alias("met"))
     return met.where("met = parts").select("text_id", "entity").distinct()
 
 

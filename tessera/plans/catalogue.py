@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("corpus", "retrieval", "answers", "evaluation", "reports")
+AREAS = ("corpus", "retrieval", "answers", "evaluation", "reports", "store")
 
 
 def _areas():

@@ -140,7 +140,7 @@ _SENTENCES = f"""
 _KIND = f"""case when regexp_matches(sentence, {D.q(C.NOISE)}) then null when regexp_matches(sentence, {D.q(C.RANGE)}) then 'range'
   when regexp_matches(sentence, {D.q(C.REQUIREMENT)}) then 'requirement' when len({D.numbers_with_units("sentence")}) > 0 then 'fact'
   when regexp_matches(sentence, {D.q(C.DEFINITION)}) then 'definition' end"""
-_CLAIMS = f"""with base as (select chunk_id id, text from ({PASSAGES})), {_SENTENCES},
+CLAIMS = f"""base as (select chunk_id id, text from ({PASSAGES})), {_SENTENCES},
  kinds as (select id chunk_id, sentence, {_KIND} kind from (select distinct id, sentence from sentences where length(sentence) between 40 and 500)),
  claims as (select distinct 'cl_' || left(sha256(chunk_id || ':' || sentence), 20) claim_id, chunk_id, kind, sentence as text from kinds where kind is not null)"""
 
@@ -166,8 +166,8 @@ SQL = {
       select doc_id, section_no::integer section_no, section, (count(*) filter (not head))::integer lines from marked group by doc_id, section_no, section
       having coalesce(sum(length(line)) filter (not head), 0) > 0""",
     "passage_rows": f"select chunk_id, doc_id, length(text) chars, md5(text) digest from ({PASSAGES})",
-    "claims_extract": _CLAIMS + " select claim_id, chunk_id, kind, text from claims",
-    "claims_by_kind": _CLAIMS + " select kind, count(*) n, count(distinct chunk_id) chunks from claims group by kind",
+    "claims_extract": f"with {CLAIMS} select claim_id, chunk_id, kind, text from claims",
+    "claims_by_kind": f"with {CLAIMS} select kind, count(*) n, count(distinct chunk_id) chunks from claims group by kind",
     "register_fields": f"""select trim(label) as label, count(*) n, count(distinct trim(value)) distinct_values from (select unnest(regexp_extract_all(text, '(?m)^([^:\\n]{{2,61}}): +(\\S[^\\n]*)$', 1)) as label,
         unnest(regexp_extract_all(text, '(?m)^([^:\\n]{{2,61}}): +(\\S[^\\n]*)$', 2)) as value from ({_DOCS})) where not contains(lower(label), 'http') group by 1""",
     "normalise_names": """select distinct publisher, array_to_string(list_filter(string_split(trim(regexp_replace(lower(publisher), '[^a-z0-9]+', ' ', 'g')), ' '),

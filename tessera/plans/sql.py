@@ -59,6 +59,10 @@ def content_terms(c: str) -> str:
     return f"list_distinct(list_transform({plain_terms(c)}, lambda t: {stem('t')}))"
 
 
+def transform_terms(c: str) -> str:
+    return f"list_transform(list_filter(list_transform({tokenize(c)}, lambda t: {depossess('t')}), lambda t: length(t) > 2 and not list_contains({strings(C.STOPWORDS)}, t)), lambda t: {stem('t')})"
+
+
 def keyword_terms(c: str) -> str:
     return f"list_filter({tokenize(c)}, lambda t: length(t) > 1 and not list_contains({strings(C.STOPWORDS)}, t))"
 

@@ -63,3 +63,66 @@ def read_suites(spark: SparkSession, paths: list[str]) -> DataFrame:
     if len({r[1] for r in rows}) != len(rows):
         raise ValueError("a question id is used twice")
     return spark.createDataFrame(rows, "suite string, question_id string, type string, question string, graders string")
+
+
+def write_json(value: dict, path: str) -> bool:
+    """Write a small record where it is not there yet or differs; whether it was written. What is equal
+    is left alone, so that a repeated run changes no file."""
+    target = Path(path)
+    text = json.dumps(value, indent=2, sort_keys=True, default=str, ensure_ascii=False)
+    if target.is_file() and target.read_text(encoding="utf-8") == text:
+        return False
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_suffix(target.suffix + ".part")
+    part.write_text(text, encoding="utf-8")
+    part.replace(target)
+    return True
+
+
+def report_record(version: str, metrics: DataFrame, by_type: DataFrame, failures: DataFrame, passed: bool) -> dict:
+    """An evaluation's report (metrics: metric, value; by_type: qtype, total, passed; failures: question_id):
+    as many rows as metrics, types and questions of a suite, hence a record."""
+    kinds = {r["qtype"]: {"total": r["total"], "passed": r["passed"]} for r in by_type.orderBy("qtype").collect()}
+    return {
+        "version": version, "passed": passed, "metrics": {r["metric"]: r["value"] for r in metrics.orderBy("metric").collect()}, "by_type": kinds,
+        "failures": [r["question_id"] for r in failures.orderBy("question_id").collect()],
+    }
+
+
+def write_report(report: dict, folder: str, publish: bool = False) -> None:
+    """A report as the latest one and, where its version is published, as the baseline and in the log of versions."""
+    root = Path(folder)
+    write_json(report, str(root / "reports" / "latest.json"))
+    if publish:
+        write_json(report, str(root / "baseline.json"))
+        write_json(report, str(root / "versions" / f"{report['version']}.json"))
+
+
+def version_log(folder: str) -> list[dict]:
+    """The published records, newest version first; a file that is no record is left out."""
+    out = []
+    for p in (Path(folder) / "versions").glob("v*.json"):
+        try:
+            out.append(json.loads(p.read_text(encoding="utf-8")))
+        except ValueError:
+            continue
+    return sorted(out, key=lambda r: tuple(int(x) for x in r["version"][1:].split(".")), reverse=True)
+
+
+def export_static(tables: dict[str, DataFrame], folder: str) -> None:
+    """A page's data without a server: each report table as a folder of JSON lines, and an index of
+    their columns."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{folder.rstrip('/')}/api/{name}")
+    write_json({n: df.columns for n, df in tables.items()}, str(Path(folder.removeprefix("file://")) / "index.json"))
+
+
+def export_challenges(challenges: DataFrame, folder: str) -> None:
+    """Challenges as JSON lines, a folder for each status."""
+    challenges.write.mode("overwrite").partitionBy("status").json(folder)
+
+
+def import_challenges(stored: DataFrame, folder: str, key: list[str]) -> DataFrame:
+    """Stored challenges with those of the files put in by key: where both have one, the files win."""
+    files = stored.sparkSession.read.schema(stored.schema).option("basePath", folder).json(folder).select(*stored.columns).dropDuplicates(key)
+    return stored.join(files.select(*key), key, "left_anti").unionByName(files)
