@@ -16,6 +16,7 @@ from tessera.session import once
 from tessera.sources.tables import table
 
 THRESHOLDS = {"retrieval_recall": 0.6, "citation_validity": 0.95, "unsupported_claim_rate": 0.15, "abstention_correctness": 0.7}
+ASKED = ("must_not_include", "must_answer", "must_abstain", "must_match", "semantic_overlap", "judge")
 CITED_TYPES = ("standard", "regulatory", "guidance")
 STRATEGY_OF = {
     "out_of_scope": "out_of_scope", "unanswerable": "unanswerable", "adversarial": "false_premise", "ambiguous": "misleading", "numeric": "over_specific",
@@ -98,7 +99,8 @@ def grade_answers(s, d):
 
 
 def question_passes(s, d):
-    return E.question_results(grade_answers(s, d))
+    """Whether a question passes by the graders its suite would ask of every answer."""
+    return E.question_results(grade_answers(s, d).where(F.col("kind").isin(list(ASKED))))
 
 
 def stored_grades(s, d):
@@ -266,7 +268,7 @@ _TPL = ", ".join(f"({i}, {D.q(s)}, {D.q(t)})" for i, s in enumerate(E.STRATEGIES
 
 SQL = {
     "grade_answers": f"{_GRADES} select answer_id, kind, passed, score from grades",
-    "question_passes": f"{_GRADES} select answer_id, bool_and(passed) passed, round(avg(score), 9) score from grades group by 1",
+    "question_passes": f"{_GRADES} select answer_id, bool_and(passed) passed, round(avg(score), 9) score from grades where kind in ({', '.join(D.q(k) for k in ASKED)}) group by 1",
     "stored_grades": f"""with {RESULTS}, g as (select run_id, unnest(json_extract(scores, '$[*]')) x from r) select run_id, x ->> '$.kind' kind, count(*) n, count(*) filter ((x ->> '$.passed')::boolean) passed, round(sum((x ->> '$.score')::double), 2) sum_score from g group by all""",
     "eval_by_type": f"with {RESULTS} select qtype, count(*) total, count(*) filter (passed) passed, round(count(*) filter (passed) / count(*), 3) rate from r group by 1",
     "eval_metrics": _METRICS + " select run_id, metric, value from metrics",

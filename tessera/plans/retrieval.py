@@ -107,7 +107,9 @@ def semantic_search(s, d, p=None):
 
 
 def graph_search(s, d, p=None):
-    return retrieval.graph_search(_questions(s, d), p or _passages(s, d), _entities(s, d), _triples(s, d))
+    """Passages for what readers' questions lead to; the suite's own questions name no entity of this ontology."""
+    asked = _asked(s, d).select(F.col("text_id").alias("question_id"), F.col("text").alias("question"))
+    return retrieval.graph_search(asked, p or _passages(s, d), _entities(s, d), _triples(s, d))
 
 
 def _lists(s, d, p):
@@ -195,6 +197,17 @@ SQL = {
       one as (select distinct m.text_id, b.b entity from matched m join both_ b on m.entity = b.a anti join matched x on x.text_id = m.text_id and x.entity = b.b),
       two as (select distinct o.text_id, b.b entity from one o join both_ b on o.entity = b.a anti join matched x on x.text_id = o.text_id and x.entity = b.b anti join one y on y.text_id = o.text_id and y.entity = b.b)
       select text_id, hop, count(*) reached, min(entity) as first from (select *, 1 hop from one union all select *, 2 from two) group by all""",
+    "graph_search": f"""with {POSTINGS}, sizes as (select chunk_id, sum(tf) len from postings group by 1), stats as (select (select count(*) from passages) n, (select sum(len) from sizes) / (select count(*) from passages) avg_len),
+      df as (select term, count(*) df from postings group by 1), {TAGS}, {_TRIPLES}, ent as (select subject entity from triples union select object from triples),
+      matched as (select distinct text_id, entity from (select distinct question text_id from submissions where question is not null), (select entity from ent where len({D.tokenize('entity')}) > 0) where contains({_PAD('text_id')}, {_PAD('entity')})),
+      both_ as (select subject a, object b from triples union select object, subject from triples),
+      one as (select distinct m.text_id, b.b entity from matched m join both_ b on m.entity = b.a anti join matched x on x.text_id = m.text_id and x.entity = b.b),
+      two as (select distinct o.text_id, b.b entity from one o join both_ b on o.entity = b.a anti join matched x on x.text_id = o.text_id and x.entity = b.b anti join one y on y.text_id = o.text_id and y.entity = b.b),
+      names as (select text_id, entity from (select *, row_number() over (partition by text_id order by hop, entity) n from (select *, 1 hop from one union all select *, 2 from two)) where n <= 20),
+      asked as (select text_id question_id, term, count(*) times from (select text_id, unnest({D.keyword_terms('entity')}) term from names) group by all),
+      scored as (select question_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len / avg_len))), 6) score
+        from asked join postings using (term) join df using (term) join sizes using (chunk_id), stats group by all)
+      select question_id, chunk_id, score, rank::integer rank from (select *, row_number() over (partition by question_id order by score desc, chunk_id) rank from scored where score > 0) where rank <= {N}""",
     "ontology_join": f"with {TAGS}, {_TRIPLES} select object, count(*) publishers, min(subject) as first, max(subject) as last from triples group by object",
     "rrf_fuse": f"with {FUSED} select question_id, chunk_id, round(fused, 9) fused, retrievers from fused",
     "hybrid_evidence": f"with {EVIDENCE} select question_id, rank::integer rank, chunk_id, source_id, authority, retrievers, score from evidence",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import shutil
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,3 +128,50 @@ def import_challenges(stored: DataFrame, folder: str, key: list[str]) -> DataFra
     """Stored challenges with those of the files put in by key: where both have one, the files win."""
     files = stored.sparkSession.read.schema(stored.schema).option("basePath", folder).json(folder).select(*stored.columns).dropDuplicates(key)
     return stored.join(files.select(*key), key, "left_anti").unionByName(files)
+
+
+def write_register(documents: DataFrame, identity: dict, facts: dict, folder: str) -> None:
+    """A collected area's register: its documents as ``sources`` (JSON lines), who it was matched to and
+    what was found as two records."""
+    documents.write.mode("overwrite").json(f"{folder.rstrip('/')}/sources")
+    root = Path(folder.removeprefix("file://"))
+    write_json(identity, str(root / "identity.json"))
+    write_json(facts, str(root / "collection.json"))
+
+
+def instantiate(template: str, params: dict[str, str], into: str, force: bool = False) -> Path:
+    """A copy of a template folder with ``{{ name }}`` in its text files filled in. ``template.json`` names
+    the parameters and the id's pattern; a parameter that is missing or unknown is an error, as is an id
+    of other than small letters, digits and hyphens, and a folder that is already there without ``force``."""
+    source = Path(template)
+    spec = json.loads((source / "template.json").read_text(encoding="utf-8"))
+    missing = [p for p in spec.get("parameters", []) if not params.get(p)]
+    if missing:
+        raise ValueError(f"template {template!r} needs the parameters {', '.join(missing)}")
+
+    def filled(text: str, values: dict[str, str]) -> str:
+        def one(m: re.Match) -> str:
+            if m[1] not in values:
+                raise ValueError(f"template {template!r} uses the unknown parameter {m[1]!r}")
+            return str(values[m[1]])
+
+        return re.sub(r"\{\{\s*(\w+)\s*\}\}", one, text)
+
+    name = filled(spec["id"], params).strip()
+    if not re.fullmatch(r"[a-z0-9][a-z0-9-]*", name):
+        raise ValueError(f"template {template!r} gives the invalid id {name!r}")
+    target = Path(into) / name
+    if target.exists():
+        if not force:
+            raise FileExistsError(f"{target} is there already")
+        shutil.rmtree(target)
+    for p in sorted(source.rglob("*")):
+        if p.is_file() and p.name != "template.json":
+            out = target / p.relative_to(source)
+            out.parent.mkdir(parents=True, exist_ok=True)
+            if p.suffix in (".json", ".md", ".txt", ".csv", ".html", ".sql"):
+                out.write_text(filled(p.read_text(encoding="utf-8"), {**params, "id": name}), encoding="utf-8")
+            else:
+                shutil.copyfile(p, out)
+    write_json({"template": source.name, "id": name, "params": params}, str(target / "instance.json"))
+    return target
