@@ -132,8 +132,14 @@ def strings(lines: list[str]) -> list[tuple[str, list[str]]]:
 
 def _returning(low: list[str], span: int = 12) -> float:
     """Share of the words, function words aside, that stood among the ``span`` before them."""
-    w = [x for x in low if x not in FUNCTION_WORDS]
-    return sum(x in w[max(0, i - span) : i] for i, x in enumerate(w)) / max(1, len(w))
+    last: dict[str, int] = {}
+    n = met = 0
+    for x in low:
+        if x not in FUNCTION_WORDS:
+            met += n - last.get(x, -span - 1) <= span
+            last[x] = n
+            n += 1
+    return met / max(1, n)
 
 
 def list_evidence(string: str, low: list[str]) -> float:
@@ -157,8 +163,12 @@ def list_evidence(string: str, low: list[str]) -> float:
     if not links and clause > 0.225 - short / 4:
         return 0.0  # what repetition could add does not outweigh it
     again = 1 - len(set(low)) / n
-    tied = 1.0 if n < 12 or not glue else min(1.0, max(0.0, 1.5 - 2.4 * _returning(low)))
-    score = 0.8 - 4.0 * clause - 4.0 * glue / n * tied + 0.5 * again + 1.5 * links / n - short
+    score = 0.8 - 4.0 * clause + 0.5 * again + 1.5 * links / n - short
+    if glue and score > 0:
+        # words that return at once are at most those that return at all
+        back = (n - len(set(low))) / max(1, n - plain) if n >= 12 else 0.0
+        tied = 1.0 if 1.5 - 2.4 * back >= 1.0 else min(1.0, max(0.0, 1.5 - 2.4 * _returning(low)))
+        score -= 4.0 * glue / n * tied
     if score > 0:
         score -= 6.0 * len(_FIGURE.findall(string)) / n
     return min(1.0, max(0.0, score))
@@ -229,12 +239,11 @@ def _form(limits: Limits):
             out = []
             for doc, host, title, text, page in zip(pdf["__doc"], pdf["__host"], pdf["__title"], pdf["__text"], pdf["__page"]):
                 lines = text.split("\n")
+                if page:
+                    lines = without_furniture(lines, set(main_body.label_page(text, title, ready, known)))
                 total, found = listed(lines)
                 if not found:
                     continue
-                if page:
-                    lines = without_furniture(lines, set(main_body.label_page(text, title, ready, known)))
-                    total, found = listed(lines)
                 weights: dict[str, int] = {}
                 for _, s in found:
                     for p, w in phrases(s, limits.words).items():
