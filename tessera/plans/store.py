@@ -15,7 +15,7 @@ from tessera.sources import fetch
 from tessera.sources.tables import table
 
 TENANT = "Zellbach Standards Institute"
-PASS_RATE = 0.45
+PASS_RATE = 0.7
 SPLIT_AT = "2024-06-01"
 
 
