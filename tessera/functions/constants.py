@@ -32,16 +32,39 @@ PACK_GAP = r"(?<=[.!?;])\s+"
 
 # Spellings of each unit, by its canonical form.
 UNITS = {
-    "%": "% percent pct", "°c": "c|°c|degc|celsius|degrees celsius|degree celsius|deg c", "°f": "f|°f|fahrenheit|degrees fahrenheit", "k": "k kelvin",
-    "v": "v volt volts", "a": "a amp amps ampere amperes", "ah": "ah|amp hour|amp hours|ampere hour|ampere hours",
-    "wh": "wh|watt hour|watt hours|watt-hour|watt-hours|watthour|watthours", "kwh": "kwh|kilowatt hour|kilowatt hours", "mwh": "mwh|megawatt hour|megawatt hours",
-    "w": "w watt watts", "kw": "kw kilowatt kilowatts", "mw": "mw megawatt megawatts",
-    "mm": "mm millimetre millimetres millimeter millimeters", "cm": "cm centimetre centimetres", "m": "m metre metres meter meters", "km": "km kilometre kilometres",
-    "kg": "kg kilogram kilograms", "g": "g gram grams gramme grammes", "mg": "mg milligram milligrams",
-    "s": "s sec second seconds", "min": "min minute minutes", "h": "h hr hour hours",
-    "bar": "bar", "kpa": "kpa", "mpa": "mpa", "pa": "pa", "psi": "psi", "ppm": "ppm", "ppb": "ppb", "µm": "µm micron microns micrometre",
-}
-UNIT_OF = {spelling: unit for unit, all_ in UNITS.items() for spelling in all_.split("|" if "|" in all_ else " ")}
+    "%": ("%", "percent", "pct"),
+    "°c": ("c", "°c", "degc", "celsius", "degrees celsius", "degree celsius", "deg c"),
+    "°f": ("f", "°f", "fahrenheit", "degrees fahrenheit"),
+    "k": ("k", "kelvin"),
+    "v": ("v", "volt", "volts"),
+    "a": ("a", "amp", "amps", "ampere", "amperes"),
+    "ah": ("ah", "amp hour", "amp hours", "ampere hour", "ampere hours"),
+    "wh": ("wh", "watt hour", "watt hours", "watt-hour", "watt-hours", "watthour", "watthours"),
+    "kwh": ("kwh", "kilowatt hour", "kilowatt hours"),
+    "mwh": ("mwh", "megawatt hour", "megawatt hours"),
+    "w": ("w", "watt", "watts"),
+    "kw": ("kw", "kilowatt", "kilowatts"),
+    "mw": ("mw", "megawatt", "megawatts"),
+    "mm": ("mm", "millimetre", "millimetres", "millimeter", "millimeters"),
+    "cm": ("cm", "centimetre", "centimetres"),
+    "m": ("m", "metre", "metres", "meter", "meters"),
+    "km": ("km", "kilometre", "kilometres"),
+    "kg": ("kg", "kilogram", "kilograms"),
+    "g": ("g", "gram", "grams", "gramme", "grammes"),
+    "mg": ("mg", "milligram", "milligrams"),
+    "s": ("s", "sec", "second", "seconds"),
+    "min": ("min", "minute", "minutes"),
+    "h": ("h", "hr", "hour", "hours"),
+    "bar": ("bar",),
+    "kpa": ("kpa",),
+    "mpa": ("mpa",),
+    "pa": ("pa",),
+    "psi": ("psi",),
+    "ppm": ("ppm",),
+    "ppb": ("ppb",),
+    "µm": ("µm", "micron", "microns", "micrometre"),
+}
+UNIT_OF = {spelling: unit for unit, spellings in UNITS.items() for spelling in spellings}
 
 # Claim rules.
 REQUIREMENT = r"(?i)\b(shall|must|is required to|are required to|may not|shall not|must not|is prohibited|required by|mandates?|prohibits?)\b"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -162,8 +163,9 @@ def extract(raw: DataFrame) -> DataFrame:
                     text = json_text(body)
                 elif kind == "application/pdf":
                     text = ""
-                titles.append(title)
-                texts.append(text)
+                # compatibility forms of letters; most texts are plain and need no look
+                titles.append(title if title.isascii() else unicodedata.normalize("NFKC", title))
+                texts.append(text if text.isascii() else unicodedata.normalize("NFKC", text))
             yield pd.DataFrame({"id": pdf["id"], "content_type": pdf["content_type"], "title": titles, "text": texts, "sha256": pdf["sha256"]})
 
     body = F.decode("content", "UTF-8")

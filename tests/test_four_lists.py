@@ -28,12 +28,12 @@ def folder(spark, tmp_path_factory):
 
 
 def test_graph_search_looks_for_what_the_question_leads_to(spark, folder):
-    got = R.graph_search(spark, folder).collect()
+    p = R._passages(spark, folder)
+    got = retrieval.graph_search(R._questions(spark, folder), p, R._entities(spark, folder), R._triples(spark, folder)).collect()
     assert [(r.question_id, r.chunk_id, r["rank"]) for r in got] == [("q1", "c2", 1)]  # relief valves -> Alder Group -> dust
     e = spark.createDataFrame([("a",)], "entity string")
     tri = spark.createDataFrame([("a", "is", "cell"), ("a", "is", "fences")], "subject string, predicate string, object string")
     q = spark.createDataFrame([("q", "what is a"), ("none", "nothing")], "question_id string, question string")
-    p = R._passages(spark, folder)
     assert {r.chunk_id for r in retrieval.graph_search(q, p, e, tri, first=1).collect()} == {"c0", "c1", "c5"}
     assert {r.chunk_id for r in retrieval.graph_search(q, p, e, tri, k=2).collect()} <= {f"c{i}" for i in range(6)}
 

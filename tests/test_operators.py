@@ -200,6 +200,8 @@ def test_extract(spark):
     got = {r.id: r for r in extract.extract(raw).collect()}
     assert got[1].title == "T" and got[1].text == "## Head\nSome body."
     assert got[2].text == "a[0]: 1\na[1].b: None\nc: True" and got[3].title == "First line" and 4 not in got
+    wide = spark.createDataFrame([(5, "text/plain", bytearray("ﬁlter ２０ Ｐａ\nx".encode()))], raw.schema)
+    assert extract.extract(wide).first().text == "filter 20 Pa\nx"
     refs = "Body. " * 30 + "\nReferences\nx"
     one = spark.createDataFrame([(refs,), ("References\n" + refs[:20],)], "t string").select(extract.drop_bibliography(F.col("t"))).collect()
     assert one[0][0].endswith("Body.") and one[1][0].startswith("References")
