@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,12 @@ LANGUAGES = {
     "fr": "le la les des et du une est que dans par pour pas sur avec qui ont avant après été cette ne au aux n'a d'une l'enquête être soit tous doit sont ce",
     "es": "el los las del que en por con una se fue para no antes después muestra cada como al su han era debe está tras lo pide y durante hasta un es",
 }
-_KNOWS: dict[str, dict[str, float]] = {}
-for _lang, _words in LANGUAGES.items():
-    for _w in _words.split():
-        _KNOWS.setdefault(_w, {})[_lang] = 1.0
-for _w, _of in _KNOWS.items():
-    for _lang in _of:
-        _of[_lang] = 1.0 / len(_of)
+#: Function words with what they say for each language: a word of several counts for each in part. Counts
+#: are twelfths, 16 bits a language, so that a text's words are summed at once.
+_KNOWS: dict[str, int] = {}
+for _w in {w for ws in LANGUAGES.values() for w in ws.split()}:
+    _in = [i for i, ws in enumerate(LANGUAGES.values()) if _w in ws.split()]
+    _KNOWS[_w] = sum((12 // len(_in)) << (16 * i) for i in _in)
 
 # Labelled sentences, by language.
 REFUSALS = {
@@ -235,8 +235,10 @@ PLACEHOLDERS = frozenset("n/a na null none nil nan undefined tbd todo answer rea
 # Words that open a complete short answer.
 _SHORT = frozenset("yes no none ja nein keine oui non aucun aucune sí si ninguno ninguna approximately about both neither".split())
 
-_SELF = re.compile(r"\b(?:i|we|me|my|our|i'm|i'd|i'll|i've|we're|ich|wir|mir|mich|meine[rmn]?|je|j'ai|moi|nous|mes|ma|m'\w+|yo|mis|me|mí)\b")
-_YOU = re.compile(r"\b(?:you|your|yours|sie|ihnen|ihre[rmn]?|vous|votre|vos|usted|su|le)\b")
+# Words of the one who answers, of the one addressed, and of regret.
+_SELF = frozenset("i we me my our i'm i'd i'll i've we're ich wir mir mich meine meiner meinem meinen je j'ai moi nous mes ma yo mis mí".split())
+_YOU = frozenset("you your yours sie ihnen ihre ihrer ihrem ihren vous votre vos usted su le".split())
+_SORRY = frozenset("sorry afraid apologise apologize apologies apology unfortunately regret regrettably respectfully leider leid bedaure désolé malheureusement regrette siento lamentablemente temo".split())
 _DENY = re.compile(
     r"\b(?:cannot|can ?not|can't|won't|will not|would not|wouldn't|not (?:be )?(?:able|allowed|permitted|appropriate|going|for me|my)|unable|declin\w+|refus\w+|rather not|prefer (?:not|to)|may not|do not|don't|"
     r"prevents?|against|no intention|not (?:in a position|something|to)|avoid|pass on|stay away|keep out|leave (?:it|that|this)|outside of what|beyond what|off limits|no comment|forbid\w*|forbidden|prohibit\w*|liberty|irresponsible|"
@@ -247,7 +249,6 @@ _DEAL = re.compile(
     r"\b(?:help|assist|answer\w*|respond|reply|discuss\w*|talk|comment|speak|explain\w*|engage|provide|share|advise|opinion|address|conversation|topic|subject|request\w*|ask|information|"
     r"sagen|beantworten|helfen|sprechen|eingehen|auskunft|äußern|nachkommen|frage|anfrage|répondre|parler|commenter|discuter|aider|expliquer|demande|sujet|responder|hablar|comentar|ayudar|explicar|opinar|petición|tema)\b"
 )
-_SORRY = re.compile(r"\b(?:sorry|afraid|apolog\w+|unfortunately|regret\w*|respectfully|leider|leid|bedaure|désolé|malheureusement|regrette|lo siento|lamentablemente|me temo)\b")
 _SOURCE = re.compile(
     r"\b(?:sources?|passages?|documents?|evidence|reports?|corpus|material|retrieved|scope|knowledge|data|found|text|quellen?|dokumente?|belege?|themas?|unterlagen|preuves?|domaine|fuentes?|documentos?|pruebas?|ámbito)\b"
 )
@@ -264,7 +265,9 @@ _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 
 def clauses(answer: str) -> list[str]:
     """Clauses of an answer without citations, mark-up and headings; none if nothing is said."""
-    t = _CITE.sub("", _INVISIBLE.sub("", answer))
+    t = answer if answer.isascii() else _INVISIBLE.sub("", answer)
+    if "[" in t:
+        t = _CITE.sub("", t)
     if "<" in t:
         t = _TAG.sub(" ", t)
     t = _HEAD.sub("\n", t)
@@ -281,10 +284,11 @@ def words(part: str) -> list[str]:
 def language(low: list[str]) -> dict[str, float]:
     """How many of a text's (lower-case) words speak for each language."""
     out: dict[str, float] = {}
-    for known in map(_KNOWS.get, low):
-        if known:
-            for k, v in known.items():
-                out[k] = out.get(k, 0.0) + v
+    for at in range(0, len(low), 5000):  # so that no count overflows its bits
+        total = sum(map(_KNOWS.get, low[at : at + 5000], repeat(0)))
+        for i, k in enumerate(LANGUAGES):
+            if n := (total >> (16 * i)) & 0xFFFF:
+                out[k] = out.get(k, 0.0) + n / 12
     return out
 
 
@@ -304,22 +308,24 @@ def features(parts: list[str], lows: list[list[str]], question: frozenset[str],
     for i, (p, low) in enumerate(zip(parts, lows)):
         lower = p.lower().replace("’", "'")
         n = len(low)
-        fs = list(set(low))
+        said = set(low)
+        fs = list(said)
+        own = not _SELF.isdisjoint(said) or ("m'" in lower and any(w.startswith("m'") for w in low))
         if _DENY.search(lower):
-            own, deal = _SELF.search(lower), _DEAL.search(lower)
+            deal = _DEAL.search(lower)
             fs.append("#deny:self" if own else "#deny")
             if deal:
                 fs.append("#deny:self:deal" if own else "#deny:deal")
             if _SOURCE.search(lower):
                 fs.append("#deny:source")
-            if _YOU.search(lower):
+            if not _YOU.isdisjoint(said):
                 fs.append("#deny:you")
-        if _SORRY.search(lower):
+        if not _SORRY.isdisjoint(said):
             fs.append("#sorry")
         figure = any(map(str.isdigit, low))
         fs.append("#figure" if figure else "#plain")
-        if not figure and _SELF.search(lower) and not _SOURCE.search(lower):
-            fs.append("#self:plain:you" if _YOU.search(lower) else "#self:plain")
+        if own and not figure and not _SOURCE.search(lower):
+            fs.append("#self:plain" if _YOU.isdisjoint(said) else "#self:plain:you")
             if n <= 14 and not sum(map(question.__contains__, low)) > 0.3 * n:
                 fs.append("#self:aside")
         fs.append("#item" if _ITEM.match(p) else "#line")
