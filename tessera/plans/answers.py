@@ -138,6 +138,28 @@ _CONFLICT = f"""pairs as (select a.question_id, a.rank rank_a, b.rank rank_b, a.
     where {D.coverage("a.terms", "b.terms")} >= 0.5),
   conflicts as (select question_id, rank_a::integer rank_a, rank_b::integer rank_b, list_min(list_filter(list_intersect(list_transform(na, lambda x: {_UNIT("x")}), list_transform(nb, lambda x: {_UNIT("x")})),
     lambda u: u <> '' and len(list_intersect(list_filter(na, lambda x: {_UNIT("x")} = u), list_filter(nb, lambda x: {_UNIT("x")} = u))) = 0)) unit from pairs)"""
+def _conf_sql(answers: str) -> str:
+    """Confidence of ``answers``, after their grounding."""
+    return f"""{_CONFLICT}, c as (select answer_id, unnest(eff) rank from grounded),
+      c1 as (select distinct answer_id, rank from c union select r.id, ev.rank from ({answers}) r join ev using (question_id) where r.id not in (select answer_id from c)),
+      per as (select c1.answer_id, avg(authority) authority, count(distinct source_id) sources, avg((length(retrievers) - length(replace(retrievers, ',', '')) + 1) / 4.0) agreement
+        from c1 join ({answers}) r on r.id = c1.answer_id join ev on ev.question_id = r.question_id and ev.rank = c1.rank group by 1),
+      odd as (select distinct question_id from conflicts where unit is not null),
+      sc as (select r.answer_id, round(case when per.answer_id is null then 0.0 else 1.0 end * (0.35 * grounded_ratio + 0.25 * citation_validity + 0.20 * coalesce(authority / 5, 0) + 0.10 * coalesce(least(1.0, sources / 2), 0) + 0.10 * coalesce(least(1.0, agreement * 2), 0))
+          * case when odd.question_id is not null then 0.75 else 1.0 end, 6) confidence_score from ratios r join ({answers}) q on q.id = r.answer_id left join per on per.answer_id = r.answer_id left join odd on odd.question_id = q.question_id)"""
+
+
+_CONFIDENCE = "select answer_id, confidence_score, case when confidence_score = 0 then 'none' when confidence_score >= 0.75 then 'high' when confidence_score >= 0.55 then 'medium' else 'low' end confidence from sc"
+
+
+def _resp_sql(answers: str) -> str:
+    """How far ``answers`` take up their question, after the evidence."""
+    return f"""{_RARE}, tot as (select question_id, sum(w) total from rare group by 1), a as (select id answer_id, question_id, {D.content_terms("text")} said from ({answers})),
+      hit as (select a.answer_id, sum(w) w from a join rare on rare.question_id = a.question_id and list_contains(said, term) group by 1),
+      r_of as (select a.answer_id, len(said) = 0 as idle, round(case when len(said) = 0 then 0.0 else coalesce(hit.w, 0) / total end, 6) addressed from a join tot using (question_id) left join hit using (answer_id)),
+      resp as (select answer_id, addressed, idle or addressed >= {answering.MIN_QUESTION_COVERAGE} responsive from r_of)"""
+
+
 _best = lambda topics: "greatest(0.0, " + ", ".join(D.coverage(D.content_terms(D.q(t)), "terms") for t in topics) + ")"
 _PROSE = f"""(length(sentence) >= 40 and regexp_matches(sentence, '[.?!]$') and len(words) >= 7 and regexp_matches(sentence, '^[\\p{{Lu}}\\p{{Nd}}]') and not regexp_matches(sentence, {D.q(C.NOT_PROSE)})
    and not (len(alpha) > 0 and len(list_filter(alpha, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) / len(alpha) > 0.6))"""
@@ -163,21 +185,11 @@ SQL = {
       select q.question_id, len(terms)::integer n_terms, len(terms) >= 3 as specific, coalesce(n, 0)::integer n_evidence, coalesce(n, 0) >= 1 and coalesce(top, 0) >= 0.01 sufficient,
         case when coalesce(n, 0) = 0 then 0.0 else round(coalesce(share, 0.0), 6) end missing_share, case when coalesce(n, 0) = 0 then '' else coalesce(missing, '') end missing
       from q left join n_ev using (question_id) left join m using (question_id)""",
-    "gate_responsive": f"""with {_EV}, {_RARE}, tot as (select question_id, sum(w) total from rare group by 1), a as (select id answer_id, question_id, {D.content_terms("text")} said from ({_RESP})),
-      hit as (select a.answer_id, sum(w) w from a join rare on rare.question_id = a.question_id and list_contains(said, term) group by 1),
-      r as (select a.answer_id, len(said) = 0 as idle, round(case when len(said) = 0 then 0.0 else coalesce(hit.w, 0) / total end, 6) addressed from a join tot using (question_id) left join hit using (answer_id))
-      select answer_id, addressed, idle or addressed >= {answering.MIN_QUESTION_COVERAGE} responsive from r""",
+    "gate_responsive": f"with {_EV}, {_resp_sql(_RESP)} select answer_id, addressed, responsive from resp",
     "grounding_sentences": _GROUND + " select * exclude (eff) from grounded",
     "grounding_ratios": _GROUND + " select * from ratios",
     "contradictions": f"with {_EV}, {_CONFLICT} select * from conflicts where unit is not null",
-    "answer_confidence": _GROUND + f""", {_CONFLICT}, c as (select answer_id, unnest(eff) rank from grounded),
-      c1 as (select distinct answer_id, rank from c union select r.id, ev.rank from ({_RESP}) r join ev using (question_id) where r.id not in (select answer_id from c)),
-      per as (select c1.answer_id, avg(authority) authority, count(distinct source_id) sources, avg((length(retrievers) - length(replace(retrievers, ',', '')) + 1) / 4.0) agreement
-        from c1 join ({_RESP}) r on r.id = c1.answer_id join ev on ev.question_id = r.question_id and ev.rank = c1.rank group by 1),
-      odd as (select distinct question_id from conflicts where unit is not null),
-      sc as (select r.answer_id, round(case when per.answer_id is null then 0.0 else 1.0 end * (0.35 * grounded_ratio + 0.25 * citation_validity + 0.20 * coalesce(authority / 5, 0) + 0.10 * coalesce(least(1.0, sources / 2), 0) + 0.10 * coalesce(least(1.0, agreement * 2), 0))
-          * case when odd.question_id is not null then 0.75 else 1.0 end, 6) confidence_score from ratios r join ({_RESP}) q on q.id = r.answer_id left join per on per.answer_id = r.answer_id left join odd on odd.question_id = q.question_id)
-      select answer_id, confidence_score, case when confidence_score = 0 then 'none' when confidence_score >= 0.75 then 'high' when confidence_score >= 0.55 then 'medium' else 'low' end confidence from sc""",
+    "answer_confidence": f"{_GROUND}, {_conf_sql(_RESP)} {_CONFIDENCE}",
     "extractive_scores": f"""with {_EV}, {_RARE}, tot as (select question_id, sum(w) total from rare group by 1),
       base as (select question_id || '#' || rank id, trim(regexp_replace(text, '\\s*\\[\\d+\\]', '', 'g')) as text from ev), {_SENTENCES},
       s as (select string_split(id, '#')[1] question_id, string_split(id, '#')[2]::integer rank, sentence_no::integer as position, trim(sentence) sentence, regexp_split_to_array(trim(sentence), '\\s+') words,
@@ -205,11 +217,32 @@ def ask_batch(s, d):
     return asking.ask(R._questions(s, d), _evidence(s, d, R.four_list_evidence), R._sources(s, d), INSIDE, OUTSIDE)
 
 
+def ask_hybrid(s, d):
+    """The same over keyword and structured evidence, which SQL can state."""
+    return asking.ask(R._questions(s, d), _evidence(s, d), R._sources(s, d), INSIDE, OUTSIDE)
+
+
 def prompt_hashes(s, d):
     p = asking.prompts(R._questions(s, d), _evidence(s, d), "Answer from the passages only.")
     return p.select("question_id", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
-QUERIES |= {f.__name__: f for f in (ask_batch, prompt_hashes)}
+QUERIES |= {f.__name__: f for f in (ask_batch, ask_hybrid, prompt_hashes)}
+SQL["extractive_answer"] = f"""with es as ({SQL["extractive_scores"]}),
+  l as (select question_id, list([{{'r': rank, 'p': position, 's': sentence}}] order by score desc, rank, position) xs from es group by 1),
+  k as (select question_id, list_reduce(xs, lambda c, x: case when len(c) >= 5 or len(list_filter(c, lambda y: lower(y.s) = lower(x[1].s))) > 0 or (len(c) >= 2 and len(list_filter(c, lambda y: y.r = x[1].r)) >= 2) then c else list_concat(c, x) end) c from l)
+  select question_id, array_to_string(list_transform(list_sort(c), lambda y: y.s || ' [' || y.r || ']'), ' ') answer from k"""
+SQL["ask_hybrid"] = f"""with es as ({SQL["extractive_answer"]}), sg as ({SQL["question_gates"]}), {R.SOURCES.replace("held as", "own as")},
+  scope as (select question_id, case when len(terms) > 0 then {_best(INSIDE)} else 0.0 end i, case when len(terms) > 0 then {_best(OUTSIDE)} else 0.0 end o from (select question_id, {D.content_terms("question")} terms from questions)),
+  told as (select question_id, min_by(source_id, (-authority, source_id)) refused_for from (select question_id, unnest({D.content_terms("question")}) term from questions where {D.contains_any("lower(question)", C.VERBATIM_CUES)})
+    join (select source_id, authority, unnest({D.content_terms("title || ' ' || replace(source_id, '-', ' ')")}) term from own where not mirrored) using (term) where regexp_matches(term, '\\d') group by 1),
+  gate as (select q.question_id, case when trim(coalesce(question, '')) = '' then 'error' when o >= 0.5 and o > i then 'out_of_scope' when refused_for is not null then 'insufficient_evidence' when not specific then 'ambiguous'
+    when not sufficient or missing_share >= {answering.MAX_MISSING_SUBJECT} then 'insufficient_evidence' end gate from questions q join sg using (question_id) join scope using (question_id) left join told using (question_id)),
+  ans as materialized (select es.question_id id, es.question_id, answer as text from es join gate using (question_id) where gate is null),
+  {_ground_sql("select * from ans").removeprefix("with ")}, {_resp_sql("select * from ans")}, {_conf_sql("select * from ans")}, conf as ({_CONFIDENCE}),
+  st as (select gate.question_id, case when gate is not null then gate when ans.text is null then 'insufficient_evidence' when 1 - coalesce(grounded_ratio, 1.0) > {asking.MAX_UNSUPPORTED} then 'unsupported'
+    when not coalesce(responsive, true) then 'irrelevant' else 'answered' end status, ans.text, grounded_ratio, citation_validity, confidence_score, confidence
+    from gate left join ans using (question_id) left join ratios on ratios.answer_id = gate.question_id left join resp on resp.answer_id = gate.question_id left join conf on conf.answer_id = gate.question_id)
+  select question_id, status, case when status = 'answered' then text end answer, grounded_ratio, citation_validity, confidence_score, confidence from st"""
 SQL["prompt_hashes"] = f"""with {_EV} select q.question_id, sha256('Answer from the passages only.' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || case when length(text) <= 1600 then text else regexp_replace(left(text, 1599), '\\s+$', '') || '…' end, chr(10) || chr(10) order by rank)
   || chr(10) || chr(10) || 'QUESTION: ' || question) prompt_sha from questions q join ev using (question_id) group by q.question_id, question"""
