@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import constants as C
 from tessera.functions import text as T
-from tessera.operators.retrieval import BROADCAST_TERMS, small, spread
+from tessera.operators.retrieval import small
 from tessera.session import materialise
 
 MIN_SUPPORT = 0.34
@@ -266,32 +267,81 @@ def verify(claims: DataFrame, passages: DataFrame, sources: DataFrame, subject:
     return out.select("claim_id", "n_terms", "sources", "own", "independent", verdict.alias("verdict"))
 
 
+#: Claims counted at once; with as many passages as ``_PASSAGES`` they bound a task's matrix.
+CLAIMS, _PASSAGES = 1000, 4000
+
+
+def _carried(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """(claim_id, chunk_id, support): passages that hold enough of a claim's terms. The claims are the
+    stated set and go to the tasks in blocks; a task counts a block's terms over its passages in a
+    matrix and gives the pairs that suffice, so nothing is shuffled."""
+    spark = claims.sparkSession
+    schema = "claim_id string, chunk_id string, support double"
+    asked = [(r["claim_id"], r["terms"]) for r in claims.where("n_terms > 0").select("claim_id", "terms").toLocalIterator()]
+    terms = passages.select("chunk_id", T.content_terms(F.concat_ws(" ", "section", "text")).alias("t"))
+    if len(asked) > CLAIMS:
+        terms = materialise(terms, "passage-terms")
+
+    def against(part: list[tuple[str, list[str]]]) -> DataFrame:
+        number: dict[str, int] = {}
+        of_term: dict[int, list[int]] = {}
+        for i, (_, ts) in enumerate(part):
+            for t in ts:
+                of_term.setdefault(number.setdefault(t, len(number)), []).append(i)
+        sizes = np.array([len(ts) for _, ts in part])
+        shared = spark.sparkContext.broadcast(([k for k, _ in part], number, {t: np.array(v) for t, v in of_term.items()}, sizes))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, number, of_term, sizes = shared.value
+            need = np.where(sizes <= 3, 1.0, 0.6)[:, None] * sizes[:, None] - 1e-9
+            for whole in batches:
+                for at in range(0, len(whole), _PASSAGES):
+                    pdf = whole.iloc[at : at + _PASSAGES]
+                    row = np.repeat(np.arange(len(pdf)), pdf["t"].map(len).to_numpy())
+                    term = np.fromiter((number.get(t, -1) for ts in pdf["t"] for t in ts), dtype=np.int64, count=len(row))
+                    order = np.argsort(term, kind="stable")
+                    names, begin = np.unique(term[order], return_index=True)
+                    met = np.zeros((len(ids), len(pdf)), dtype=np.int32)
+                    for t, i, j in zip(names.tolist(), begin, [*begin[1:], len(order)]):
+                        if t >= 0:
+                            met[np.ix_(of_term[t], row[order[i:j]])] += 1
+                    q, c = np.nonzero(met >= need)
+                    yield pd.DataFrame({"claim_id": np.array(ids, dtype=object)[q], "chunk_id": pdf["chunk_id"].to_numpy()[c], "support": met[q, c] / sizes[q]})
+
+        return terms.mapInPandas(run, schema)
+
+    found = spark.createDataFrame([], schema)
+    for at in range(0, len(asked), CLAIMS):
+        found = found.unionByName(against(asked[at : at + CLAIMS]))
+    return found.withColumn("support", F.round("support", 6))
+
+
 def support(claims: DataFrame, passages: DataFrame, sources: DataFrame, subject: str | None = None) -> DataFrame:
     """(claim_id, source_id, own, chunk_id, support, stated, lines, long_line, unconfirmed): each source that
     supports a claim, by its best passage (most of the claim's terms, then the least id), with the
     first sentence of its supporting passages that states the claim, the lines of its own pages that
     hold it, and whether the source's identity is unconfirmed by its tags."""
     c = claims.select("claim_id", "claim", T.content_terms("claim").alias("terms")).withColumn("n_terms", F.size("terms"))
-    # pairs of claims and passages are counted where the passage is; its terms leave it, not its text
-    held = passages.select("chunk_id", F.explode(T.content_terms(F.concat_ws(" ", "section", "text"))).alias("term"))
-    each = small(c.select("claim_id", "n_terms", F.explode("terms").alias("term")), BROADCAST_TERMS)
-    met = spread(held.join(each, "term"), "chunk_id").groupBy("claim_id", "n_terms", "chunk_id").agg(F.count("*").alias("met"))
-    need = F.when(F.col("n_terms") <= 3, 1.0).otherwise(0.6)
-    supporting = met.where(F.col("met") / F.col("n_terms") >= need).select("claim_id", "chunk_id", F.round(F.col("met") / F.col("n_terms"), 6).alias("support"))
+    supporting = materialise(_carried(c, passages), "supporting")
     tags = F.coalesce("tags", F.lit("")) if "tags" in sources.columns else F.lit("")
     kind = sources.select(
         "source_id", F.col("source_type").isin(list(SELF_TYPES)).alias("own"), F.col("source_type").isin(list(ABOUT_TYPES)).alias("about"), F.contains(tags, F.lit("identity-unconfirmed")).alias("unconfirmed")
     ).dropDuplicates(["source_id"])
-    rows = supporting.join(passages.select("chunk_id", "source_id", "section", "text"), "chunk_id").join(kind, "source_id").join(c, "claim_id")
+    # a passage is cut and its pieces' terms are taken once, however many claims it supports
+    pieces = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+|\n+|\s+\|\s+", -1), lambda x: F.trim(x)), lambda x: x != "")
+    cut = passages.join(supporting.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
+        "chunk_id", "source_id", "section", "text", F.transform(pieces, lambda x: F.struct(x.alias("p"), T.content_terms(x).alias("t"), T.padded_words(x).alias("w"))).alias("pieces")
+    )
+    rows = supporting.join(cut.join(kind, "source_id"), "chunk_id").join(small(materialise(c, "claims"), BROADCAST_QUESTIONS), "claim_id")
     if subject:
         rows = rows.where(F.col("about") | F.contains(F.lower("text"), F.lit(subject.lower())))
-    pieces = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+|\n+|\s+\|\s+", -1), lambda x: F.trim(x)), lambda x: x != "")
-    phrase = T.padded_words("claim")
-    told = lambda x: F.when(F.col("n_terms") <= 3, F.contains(T.padded_words(x), phrase)).otherwise(T.coverage(F.col("terms"), T.content_terms(x)) >= 0.6)
-    named = (lambda x: told(x) & F.contains(T.padded_words(x), T.padded_words(F.lit(subject)))) if subject else told
-    lines = F.filter(F.split(F.concat_ws("\n", "section", "text"), "\n", -1), lambda x: F.contains(F.lower(x), F.lower("claim")))
+    rows = rows.withColumn("phrase", T.padded_words("claim"))
+    told = lambda x: F.when(F.col("n_terms") <= 3, F.contains(x["w"], F.col("phrase"))).otherwise(T.coverage(F.col("terms"), x["t"]) >= 0.6)
+    named = (lambda x: told(x) & F.contains(x["w"], T.padded_words(F.lit(subject)))) if subject else told
+    # only a subject's own pages are read for labels
+    lines = F.when(F.col("own"), F.filter(F.split(F.concat_ws("\n", "section", "text"), "\n", -1), lambda x: F.contains(F.lower(x), F.lower("claim")))).otherwise(F.array().cast("array<string>"))
     long_line = F.exists(lines, lambda x: F.size(F.split(F.trim(x), r"\s+", -1)) > LABEL_WORDS)
-    rows = rows.select("claim_id", "source_id", "own", "unconfirmed", "chunk_id", "support", F.get(F.filter(pieces, named), F.lit(0)).alias("stated"), F.size(lines).alias("lines"), long_line.alias("long_line"))
+    rows = rows.select("claim_id", "source_id", "own", "unconfirmed", "chunk_id", "support", F.get(F.filter("pieces", named), F.lit(0))["p"].alias("stated"), F.size(lines).alias("lines"), long_line.alias("long_line"))
     best = F.struct((-F.col("support")).alias("s"), "chunk_id")
     return rows.groupBy("claim_id", "source_id", "own", "unconfirmed").agg(
         F.min_by("chunk_id", best).alias("chunk_id"), F.max("support").alias("support"), F.min_by("stated", F.when(F.col("stated").isNotNull(), F.col("chunk_id"))).alias("stated"), F.sum("lines").alias("lines"), F.max("long_line").alias("long_line")
