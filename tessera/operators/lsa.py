@@ -8,7 +8,7 @@ every passage is encoded, in Arrow batches against the broadcast projection of f
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,13 @@ class Model:
     project: np.ndarray  # terms x dimensions
 
 
-def _rows(docs: list[list[str]], terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_rows(passages: DataFrame) -> DataFrame:
+    """(chunk_id, t): the stemmed terms of each passage, with repetitions. Passages that bring them (column
+    ``t``) are taken as they are, so that a caller computes them once for vocabulary, fit and search."""
+    return passages.select("chunk_id", F.col("t") if "t" in passages.columns else T.transform_terms("section", "text").alias("t"))
+
+
+def _rows(docs: Iterable[list[str]], terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coordinates of the length-normalised tf-idf rows (sublinear term counts)."""
     r, c, v = array("q"), array("q"), array("d")
     for i, d in enumerate(docs):
@@ -51,9 +57,13 @@ _AT_ONCE = 20_000
 def _times(coo, x: np.ndarray, n: int) -> np.ndarray:
     r, c, v = coo
     out = np.zeros((n, x.shape[1]))
+    if len(r) and (np.diff(r) < 0).any():
+        order = np.argsort(r, kind="stable")
+        r, c, v = r[order], c[order], v[order]
     for i in range(0, len(r), _AT_ONCE):
         part = slice(i, i + _AT_ONCE)
-        np.add.at(out, r[part], v[part, None] * x[c[part]])
+        rows, begin = np.unique(r[part], return_index=True)  # sorted, so a row's entries stand together
+        out[rows] += np.add.reduceat(v[part, None] * x[c[part]], begin, axis=0)
     return out
 
 
@@ -66,10 +76,17 @@ def fit(passages: DataFrame, vocabulary: DataFrame, dimensions: int = 192, sampl
     vocab = sorted((row["term"], row["idf"]) for row in vocabulary.collect())  # at most the vocabulary's cap
     terms = {t: i for i, (t, _) in enumerate(vocab)}
     idf = np.array([x for _, x in vocab])
-    picked = passages.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select(T.transform_terms("section", "text").alias("t")).collect()
-    n, m = len(picked), len(terms)
-    coo = _rows([row["t"] for row in picked], terms, idf)
-    del picked, vocab
+    picked = term_rows(passages.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample))
+    n, m = 0, len(terms)
+
+    def docs() -> Iterator[list[str]]:  # one at a time: the driver holds coordinates, not texts
+        nonlocal n
+        for row in picked.toLocalIterator():
+            n += 1
+            yield row["t"]
+
+    coo = _rows(docs(), terms, idf)
+    del vocab
     k = max(1, min(dimensions, n, m))
     rng = np.random.default_rng(seed)
     y = _times(coo, rng.standard_normal((m, min(m, k + 10))), n)
@@ -79,8 +96,12 @@ def fit(passages: DataFrame, vocabulary: DataFrame, dimensions: int = 192, sampl
         y = _times(coo, z, n)
     basis, _ = np.linalg.qr(y)
     y = z = None
-    _, _, vt = np.linalg.svd(_times_t(coo, basis, m).T, full_matrices=False)
-    return Model(terms, idf, vt[:k].T.astype(np.float32))
+    # the right singular vectors, from the small matrix of inner products
+    b = _times_t(coo, basis, m)
+    values, vectors = np.linalg.eigh(b.T @ b)
+    order = np.argsort(-values, kind="stable")[:k]
+    scale = np.sqrt(np.maximum(values[order], 1e-18))
+    return Model(terms, idf, (b @ (vectors[:, order] / scale)).astype(np.float32))
 
 
 def _vectors(texts: pd.Series, model: Model) -> np.ndarray:
@@ -95,7 +116,7 @@ def encode(passages: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "vector": list(_vectors(pdf["t"], model))})
 
-    return passages.select("chunk_id", T.transform_terms("section", "text").alias("t")).mapInPandas(run, "chunk_id string, vector array<float>")
+    return term_rows(passages).mapInPandas(run, "chunk_id string, vector array<float>")
 
 
 def search(questions: DataFrame, passages: DataFrame, model: Model, k: int = C.CANDIDATE_K, block: int = 2000) -> DataFrame:
@@ -120,7 +141,7 @@ def search(questions: DataFrame, passages: DataFrame, model: Model, k: int = C.C
             if best is not None:
                 yield best
 
-        return passages.select("chunk_id", T.transform_terms("section", "text").alias("t")).mapInPandas(run, schema)
+        return term_rows(passages).mapInPandas(run, schema)
 
     asked = encode(questions.where("question is not null").select(F.col("question_id").alias("chunk_id"), F.lit("").alias("section"), F.col("question").alias("text")), model)
     parts, pending = [], []

@@ -313,7 +313,8 @@ def vocabulary(passages: DataFrame, share: float = 0.6, least: int = 2, cap: int
     """(term, df, idf) of the vector vocabulary: terms in at least ``least`` passages and at most
     ``share`` of them, the ``cap`` most frequent."""
     n = passages.agg(F.count("*").alias("n"))
-    df = passages.select("chunk_id", F.explode(T.content_terms(F.concat_ws("\n", "section", "text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = F.array_distinct("t") if "t" in passages.columns else T.content_terms(F.concat_ws("\n", "section", "text"))
+    df = passages.select("chunk_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     rows = df.crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("n")))))
     idf = F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6)
     return rows.select("term", "df", idf.alias("idf")).orderBy(F.desc("df"), "term").limit(cap)

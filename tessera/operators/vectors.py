@@ -61,7 +61,7 @@ def tfidf_search(questions: DataFrame, passages: DataFrame, vocabulary: DataFram
             if best is not None:
                 yield best
 
-        return passages.select("chunk_id", T.transform_terms("section", "text").alias("t")).mapInPandas(run, schema)
+        return lsa.term_rows(passages).mapInPandas(run, schema)
 
     for at in range(0, len(asked), BLOCK):
         found = found.unionByName(against(asked[at : at + BLOCK]))

@@ -97,13 +97,19 @@ def _entities(s, d):
     return t.select(F.col("subject").alias("entity")).union(t.select("object")).distinct()
 
 
-def _model(s, d, p):
-    return lsa.fit(p, retrieval.vocabulary(p))
+def _term_rows(s, d, p=None):
+    """The passages' terms, taken once for vocabulary, fit and search."""
+    p = p or _passages(s, d)
+    return once("terms", [table(s, d, "chunks"), table(s, d, "documents")], lambda: lsa.term_rows(p))
+
+
+def _model(rows):
+    return lsa.fit(rows, retrieval.vocabulary(rows))
 
 
 def semantic_search(s, d, p=None):
-    p = p or _passages(s, d)
-    return lsa.search(_questions(s, d), p, _model(s, d, p))
+    rows = _term_rows(s, d, p)
+    return lsa.search(_questions(s, d), rows, _model(rows))
 
 
 def graph_search(s, d, p=None):
@@ -140,8 +146,8 @@ def tfidf_vocabulary(s, d):
 
 
 def lsa_neighbours(s, d):
-    p = _passages(s, d)
-    v = lsa.encode(p, _model(s, d, p))
+    rows = _term_rows(s, d)
+    v = lsa.encode(rows, _model(rows))
     v = v.select(F.xxhash64("chunk_id").alias("vec_id"), F.col("vector").cast("array<double>").alias("embedding"))
     return retrieval.nearest(v, v.where("pmod(vec_id, 50) = 0"), k=3)
 

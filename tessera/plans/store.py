@@ -20,8 +20,8 @@ SPLIT_AT = "2024-06-01"
 
 
 def tfidf_search(s, d):
-    p = R._passages(s, d)
-    return vectors.tfidf_search(R._questions(s, d), p, retrieval.vocabulary(p))
+    rows = R._term_rows(s, d)
+    return vectors.tfidf_search(R._questions(s, d), rows, retrieval.vocabulary(rows))
 
 
 def _declared(s, d):
