@@ -56,10 +56,23 @@ NOT_PEOPLE = frozenset(
     institute board review desk bulletin laboratory lab group agency office department university college company ltd inc gmbh bureau instituto boletín revue
     instruments instrument systems services council committee commission panel team brigade foundation society association press library centre center redaktion rédaction redacción thanks thank regards hello dear danke merci gracias
     method test rig bench protocol rule clause valve sensor pump scale model report standard energy safety battery process fire insurance standards research
+    telefon telephone téléphone teléfono phone tel mobile mobil email e-mail
     january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
     the and of in on at by for from with to a an this that these is was were are not but or as it when because home contact about news training events
     der die das und von im am zu mit bei nach vor le la les des du de et el los las del y en untersuchung enquête investigación""".split()
 )
+# Nouns that name a body or what it publishes; those that are surnames too are left out.
+BODIES = frozenset(
+    """register registry archive archives record records ledger digest gazette journal observer monitor watch magazine newsletter newspaper herald tribune chronicle
+    observatory academy school trust authority administration association federation union alliance consortium coalition network forum congress conference
+    commission committee council court tribunal ministry directorate inspectorate inspection secretariat division section unit branch registrar
+    corporation corp incorporated llc plc holding holdings partners enterprises industries technologies technology solutions consulting services service agency
+    museum hospital clinic airport station observatory facility facilities project programme program initiative campaign survey database portal catalogue
+    incident incidents accident hazard hazards risk loss quality health certification compliance prevention investigation technical national international regional
+    verein gesellschaft amt behörde kammer ministerium zeitung zeitschrift zentrum register archiv stiftung prüfstelle fachblatt anstalt
+    société compagnie agence ministère association fondation observatoire registre gazette cahiers laboratoire conseil comité
+    sociedad compañía agencia ministerio asociación fundación observatorio registro gaceta cuadernos laboratorio consejo comité empresa""".split()
+)
 # Cues of an identity number.
 ID_CUES = (
     "passport", "identity card", "id card", "id number", "id no", "identification number", "tax id", "social security", "ssn", "ni number", "national insurance",
@@ -131,6 +144,13 @@ OPENERS = frozenset(
 # Words after which a person is named, and words after which a place is.
 PERSON_BEFORE = frozenset("by with met told asked thanked called thank ask contact colleague supervisor foreman driver manager engineer technician operator owner tenant neighbour inspector durch kollege leiter par collègue por colega and".split())
 PLACE_BEFORE = frozenset("at in near into towards outside around between bei aus in nach à en dans vers desde hasta".split())
+#: What bodies do and persons seldom: disclaim, reserve, publish.
+_BODY_AFTER = re.compile(
+    r"\s+(?:accepts?\s+no|(?:takes?|assumes?|bears?)\s+no|(?:is|are)\s+(?:provided|published|issued|supplied|edited|not\s+(?:liable|responsible))|disclaims?|reserves?|publishes|holds?\s+the\s+(?:copyright|rights)|cannot\s+be\s+held"
+    r"|übernimmt\s+keine|haftet\s+nicht|behält\s+sich|(?:wird|werden)\s+(?:bereitgestellt|veröffentlicht|herausgegeben)|décline|n[’']accepte|n[’']assume|se\s+réserve|(?:est|sont)\s+(?:fournie?s?|publiée?s?)"
+    r"|no\s+(?:acepta|asume|se\s+hace)|declina|se\s+reserva|se\s+(?:ofrece|publica|facilita)n?)\b", re.I
+)
+_BODY_BEFORE = re.compile(r"(?:published\s+by|issued\s+by|copyright(?:\s+by)?|©(?:\s+\d{4})?|rights\s+of|(?:bereitgestellt|veröffentlicht|herausgegeben)\s+von|publiée?s?\s+par|fournie?s?\s+par|publicad[oa]s?\s+por|ofrecid[oa]s?\s+por)\s+$", re.I)
 _PLACE_END = re.compile(r"(?:wick|ford|ton|ham|bury|ville|field|mere|stadt|burg|dorf|haven|port|worth|mouth|dale|shire|stelle|blatt|institut|werk|verband)$")
 
 _TRIM = ".,;:!?()[]\"“”«»*=—–-"
@@ -369,6 +389,12 @@ class Finder:
                 fs.append(f"plain opened {opened}")
             if article:
                 fs.append("plain article before")
+            if _BODY_AFTER.match(text, b):
+                fs.append("plain body after")
+            if _BODY_BEFORE.search(text, max(0, a - 40), a):
+                fs.append("plain body before")
+            if len(words) == 3:
+                fs.append("plain three words")
             self._name(text, a, b, "plain", out, tuple(fs))
             if start and len(words) == 3:  # the first word may be capital for opening the sentence
                 self._name(text, a + len(text[a:b].split()[0]) + 1, b, "plain", out, (*fs, "plain without first"))
@@ -424,8 +450,8 @@ class Finder:
 
 _OF = frozenset("von de del du di".split())
 _PARTICLES = frozenset("van von de der den del la di du ter bin al".split())
-#: What no word of a name is: function words and the words of NOT_PEOPLE.
-_COMMON = (FUNCTION_WORDS | NOT_PEOPLE) - _PARTICLES
+#: What no word of a name is: function words and the words of NOT_PEOPLE and BODIES.
+_COMMON = (FUNCTION_WORDS | NOT_PEOPLE | BODIES) - _PARTICLES
 #: Things that bear a name.
 NOT_PEOPLE_AFTER = frozenset("rig method test bench protocol rule clause valve sensor pump scale model report standard instruments paste clamps liners collars foam panel line cell works plant yard depot".split())
 
@@ -437,7 +463,7 @@ def _same_case(a: str, b: str) -> bool:
 
 
 # Patterns of the texts the field is fitted on. {n} name, {e} e-mail, {p} phone,
-# {i} an identity number with its cue, {a} address, {t} town, {w} word, {d} small number.
+# {i} an identity number with its cue, {a} address, {t} town, {w} word, {d} small number, {b} a body on no list.
 PATTERNS = """
 I met {n} on {d} May.|I spoke to {n} about the leak.|According to Dr {n} the vent was blocked.|According to {n} the vent was taped over.
 Ms {n} signed the form.|Mr {n} signed it.|Witness {n} left the hall at once.|Prof. {n} wrote the note.
@@ -460,6 +486,7 @@ After lunch {q} opened the hatch again.|Please thank {q} for the photographs.|{q
 It was {q} who rang the bell.|The driver, {q}, left before noon.|Nobody but {q} knew the code.|{q}'s van stood in the way.|The letter to {q} came back.|{q} and {q} carried the tank outside.|A statement from {q} is still missing.
 {q} sagte, dass die Tür offen war.|Der Brief ging an {q} und kam nicht zurück.|{q} a écrit deux lettres au bureau.|La clé a été remise par {q} hier soir.|{q} dijo que la puerta estaba abierta.|La llave la tenía {q} desde ayer.
 They gave {q} the spare parts.|My colleague {q} brought the meter.|Last week {q} told us about the leak.|In the end {q} signed for it.|Tonight {q} rang twice.|Soon {q} {v}ed it.|Finally {q} {v} the {v} and {v}.|Because {q} {v}, the {v} was late.|While {q} {v}ed, nobody {v} it.|Perhaps {q} knew.|When {q} paid, the others waited.|A call from {q} came at noon.|Flowers to {q} went out.|{q} {v}ed that the {v} was late.|The {v} from {q} {v} again.|In {v} {q} {v}ed it twice.|{q} {v}s the {v} every day.|They {v} {q} on Friday.|Then a {v} of {q} was {v}ed.|All {v} with {q}, as the {v} said.|{q} noticed a smell of gas in the corridor.
+I think that {q} is right about it.|They agree that {q} {v}ed first.|The page says that {q} was late, and {q} is sure of it.|The letter published by {q} was long.|A {v} and {q} were in the yard.|The note issued by {q} is old.|The date was wrong; {q} {v}ed it.|Wir denken, dass {q} es weiß, und {q} war da.|Les totaux et {q} sont là.
 """.strip().replace("\n", "|").split("|")
 # Capitalised runs that are places, bodies and things, and headings run into text.
 NAMELESS = """
@@ -468,6 +495,8 @@ Where {z} meets {x}, the drawings differ.|Durch {z} fiel die Pumpe aus.|Der Rund
 The {z} {x} and the {x} {z} were both tested.|In {z} {x} the rule was not applied.|{z} {x} valves were fitted later and {z} {x} seals too.|Hot {z} work was stopped, as hot work is not allowed.|Gas Detection is covered below; gas detection and {z}.
 Der Druck fiel, bevor das {z} von {t} und später die {x} von {t} nachgab.|Untersuchung: die {z} von {x} und das {x} von {t}|El {z} de {t} y la {x} de {t} fallaron.
 They moved the rack from {t} {z} to {z} {t} by train.|Vom Standort {z} {x} wurde die Anlage zu der Halle gebracht.|Der Versuch {z} {x} wurde mit der Pumpe und dem Ventil wiederholt.|The line to {z} {x} is closed for the winter.
+The text published by {b} is provided as it stands.|Totals are rounded and {b} accepts no claim for them.|Rights reserved; {b} takes no responsibility for the tables.|The leaflet was issued by {b} and is not advice.|By using this page you agree that {b} disclaims all warranties.|This is a free notice published by {b} for the trade.
+Der Text wird von {b} bereitgestellt und ist ohne Gewähr.|Die Zahlen sind gerundet, und {b} übernimmt keine Haftung.|Le texte publié par {b} est fourni à titre indicatif.|Les totaux sont arrondis et {b} décline toute responsabilité.|El texto publicado por {b} se ofrece sin garantía.|Los totales son redondos y {b} no asume ninguna responsabilidad.
 """.strip().replace("\n", "|").split("|")
 HARMLESS = """
 Firmware {d}.{d}.{d} logs under cell@rack{d} in bay {d}, North Yard.|The flow meter counted {d} {f} {f} litres at {d} {d} N, {d} {d} W.|Batch {g}-{g}-{g} came from the Marlow Street depot, unit {d}.
@@ -521,7 +550,7 @@ def _unlisted(r: random.Random) -> str:
     """A name whose given name is on no list."""
     given = r.choice(_GIVEN_OTHERS) if r.random() < 0.2 else _coined(r)
     surname = r.choice(_SURNAMES) if r.random() < 0.4 else _coined(r)
-    return f"{given} {r.choice(['', '', '', '', r.choice('ABCDEFGHJKLMNPRSTWY') + '. ', 'van ', 'de '])}{surname}"
+    return f"{given} {r.choice(['', '', '', '', r.choice('ABCDEFGHJKLMNPRSTWY') + '. ', 'van ', 'de ', _coined(r) + ' '])}{surname}"
 
 
 def _digits(r: random.Random, shape: str) -> str:
@@ -583,7 +612,7 @@ def made_up(count: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]
                 else:
                     value = {
                         "{t}": r.choice(_TOWNS), "{w}": r.choice(["leak", "smoke", "pump", "Hello", "Note"]), "{d}": str(r.randint(10, 28)), "{h}": str(r.randint(1, 9)), "{f}": str(r.randint(100, 999)), "{g}": str(r.randint(1000, 9999)),
-                        "{s}": r.choice(_SURNAMES + ["Halberg", "Orrin", "Dorrick"]), "{v}": _coined(r).lower(), "{z}": _coined(r), "{x}": _coined(r), "{y}": r.choice(["Yard", "Works", "Depot", "Mill", "Park", "Store", "Plant", "Terminal"]),
+                        "{s}": r.choice(_SURNAMES + ["Halberg", "Orrin", "Dorrick"]), "{v}": _coined(r).lower(), "{z}": _coined(r), "{x}": _coined(r), "{b}": " ".join(_coined(r) for _ in range(r.choice([2, 3, 3]))), "{y}": r.choice(["Yard", "Works", "Depot", "Mill", "Park", "Store", "Plant", "Terminal"]),
                     }.get(part, part)
                 text += value
         if r.random() < 0.15:
