@@ -70,3 +70,29 @@ def test_equal_passages_stay_few_candidates():
     best = Spy(ids[:100], x[:100], 3)
     best.meet(ids, x)
     assert sum(weighed) <= 400 and best.id[0].tolist() == [1, 2, 3] and best.id[5].tolist() == [0, 1, 2]
+
+
+def test_a_bound_rules_out_none_of_the_best(monkeypatch):
+    """Leading dimensions and the others' norms find what all dimensions find, near ones and far ones."""
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((30, 12)) / np.arange(1, 13)
+    x = np.concatenate([centres[r.integers(30, size=900)] + 0.03 * r.standard_normal((900, 12)), r.standard_normal((300, 12)), np.zeros((5, 12))])
+    x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)[r.permutation(1205)]
+    ids = r.permutation(1205)
+
+    def found():
+        best = lsa._Best(ids[::7], x[::7], 3)
+        for at in range(0, 1205, 100):
+            best.meet(ids[at : at + 100], x[at : at + 100], tile=50)
+        return best.rows().values.tolist(), best.cut
+
+    whole, _ = found()
+    monkeypatch.setattr(lsa, "HEAD", 4)
+    bounded, cut = found()
+    assert (np.isfinite(cut) & (cut >= lsa.NEAR)).sum() > 60 and (cut < lsa.NEAR).sum() > 5
+    double = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-300)
+    want = []
+    for q in range(0, 1205, 7):
+        scores = np.round(double @ double[q], 6)
+        want += [[float(ids[q]), float(ids[i]), scores[i]] for i in np.lexsort((ids, -scores)) if i != q][:3]
+    assert whole == bounded == want
