@@ -96,3 +96,10 @@ def test_a_bound_rules_out_none_of_the_best(monkeypatch):
         scores = np.round(double @ double[q], 6)
         want += [[float(ids[q]), float(ids[i]), scores[i]] for i in np.lexsort((ids, -scores)) if i != q][:3]
     assert whole == bounded == want
+
+
+def test_a_sample_that_ends_with_a_null_id_or_has_no_passage(spark):
+    for rows in ([], [(None, "x", "cell casing gas"), (None, "", "cell casing")]):  # a null's hash is 42, an int as a literal
+        p = spark.createDataFrame(rows, "chunk_id string, section string, text string")
+        m = lsa.fit(p, retrieval.vocabulary(p))
+        assert sorted(m.terms) == (["cas", "cell"] if rows else []) and lsa.neighbours(p, m, every=50).collect() == []
